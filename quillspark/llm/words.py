@@ -167,9 +167,9 @@ def shingles(scan_: Scan, size: int = 5) -> Iterator[np.ndarray]:
         if b - a >= size:
             yield np.unique(rolled[a : b - size + 1])
         elif b > a:
-            value = np.uint64(b - a)
-            for x in h[a:b]:
-                value = value * np.uint64(0x2545F4914F6CDD1D) + x
-            yield mix64(np.array([value ^ np.uint64(0x5851F42D4C957F2D)]))
+            value = b - a
+            for x in h[a:b].tolist():
+                value = (value * 0x2545F4914F6CDD1D + x) & 0xFFFFFFFFFFFFFFFF
+            yield mix64(np.array([value ^ 0x5851F42D4C957F2D], np.uint64))
         else:
             yield rolled[:0]
