@@ -4,7 +4,7 @@ Documents are dealt into shards by ranges of doc_id, sorted, encoded with the to
 id. A shard is written in blocks of about `block` ids (a longer document is a block of its own). In each block the
 most frequent pairs of neighbouring symbols are replaced by new symbols, in rounds: a round counts all pairs, takes
 the most frequent, and replaces their occurrences from left to right, so that symbols of one round become material of
-the next. A pair whose left symbol ends a document is never replaced: documents stay separate runs of symbols, and the
+the next. A pair whose left symbol ends with the end id is never replaced: documents stay separate runs of symbols, and the
 rules' expansion lengths turn any position of a document into a position in the grammar.
 
 Block format, little-endian: magic 'RPG1'; base (first new symbol), number of rules, of documents, of symbols, bytes a
@@ -69,11 +69,13 @@ def compress(ids: np.ndarray, end: int, rounds: int = ROUNDS, least: int = MIN_C
     # Symbols fit two bytes as long as the ids do.
     room = (1 << 16) - base if base < 1 << 16 else 1 << 20
     s, rules, limit = ids.astype(np.uint32), [], max(1, room // rounds)
+    ends = np.zeros(base, bool)  # symbols whose last id is the end
+    ends[end] = True
     for _ in range(rounds):
         if len(s) < 2:
             break
         keys = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-        closed = s[:-1] == end
+        closed = ends[s[:-1]]
         counted = np.sort(keys[~closed])
         if not len(counted):
             break
@@ -104,6 +106,7 @@ def compress(ids: np.ndarray, end: int, rounds: int = ROUNDS, least: int = MIN_C
         keep[at + 1] = False
         s = s[keep]
         rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        ends = np.concatenate((ends, ends[rules[-1][:, 1]]))
     return base, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), s
 
 
