@@ -91,7 +91,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs:
     w[:, 1:] = rng.normal(0, 0.01, (n, k))
     g2 = np.full((n, 1 + k), 1e-3)
     bias, bias_g2 = float(np.log(prior / (1 - prior))), 1e-3
-    for _ in range(epochs):
+    # Small samples get more epochs, so that the number of steps does not fall with them.
+    for _ in range(max(epochs, 2_500 * 64 // len(docs))):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), 64):
             batch = order[at : at + 64]
