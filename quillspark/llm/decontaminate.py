@@ -6,12 +6,13 @@ and one threshold suits items of all lengths. Postings lie in blocks with the la
 broadcast in shards of at most SHARD items; more shards mean more passes, so what is broadcast has a bound.
 
 Query. Every document is cut into passages of `window` words, `stride` apart, so that the longest item of the shard
-fits wholly into one of them. Common terms, whose impacts cannot add up to the threshold in any item, cannot make a
-hit alone: passages are screened by the summed largest impacts of the rest, a WAND bound taken for whole arrays. Those
-that pass run block-max WAND, which returns every item at or above the threshold.
+fits wholly into one of them. Common terms, whose impacts stay below a share of the threshold in every item, cannot
+make a hit alone: a passage is screened, for whole arrays at once, by the WAND bound that the other terms must add up
+to what the common ones leave open in some item. Passages that pass run block-max WAND, which returns every item at
+or above the threshold.
 
 Verification. An item is a question and an answer (its last sentence, or its last third where it has one sentence).
-A hit stands if at least `overlap` of the word trigrams of both parts occur in the passage.
+A hit stands if at least `overlap` of the word trigrams of both parts (their words, if fewer than three) occur in the passage.
 
 Defined cases: null or empty text has no passages; items without words are not indexed; null ids are kept in the
 rows returned; repeated rows each give their rows; an empty benchmark gives no rows. Other columns are ignored.
@@ -31,15 +32,15 @@ from .common import column, map_batches, text_of
 from .words import NON_WORD, HashIndex, mix64, scan
 
 K1, B = 1.2, 0.75
+#: Share of the threshold that common terms may reach in an item.
+COMMON = 0.5
 SHARD = 20_000
 BLOCK = 16
 
 
 def trigrams(h: np.ndarray) -> np.ndarray:
-    """Hashes of runs of three words; of all words where there are fewer."""
+    """Hashes of runs of three words; the words themselves where there are fewer."""
     if len(h) < 3:
-        h = np.concatenate((np.full(3 - len(h), 11, np.uint64), h)) if len(h) else h
-    if not len(h):
         return h
     return mix64((h[:-2] * np.uint64(0x9FB21C651E98DF25) + h[1:-1]) * np.uint64(0xD6E8FEB86659FD93) + h[2:])
 
@@ -52,7 +53,10 @@ class Index:
     postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # item positions, impacts, block maxima
     top: np.ndarray  # largest impact of each term
     essential: np.ndarray  # whether the term is not common
-    least: float  # what essential terms must add up to
+    least: np.ndarray  # what essential terms must add up to in each item
+    begins: np.ndarray  # flat postings of a term: begins[t] to begins[t + 1]
+    item: np.ndarray
+    impact: np.ndarray
     window: int
     stride: int
 
@@ -92,13 +96,13 @@ def build(items: list[tuple[int, str]], threshold: float) -> Index | None:
     impact /= np.bincount(item, impact, len(words))[item]
     top = np.zeros(len(terms))
     np.maximum.at(top, term, impact)
-    # Terms are common, most frequent first, as long as no item gets half of the threshold from them.
+    # Terms are common, most frequent first, as long as no item gets more than a share of the threshold from them.
     common, given = np.zeros(len(terms), bool), np.zeros(len(words))
     begins = np.searchsorted(term, np.arange(len(terms) + 1))
     for t in np.lexsort((terms, -df)):
         at = slice(begins[t], begins[t + 1])
-        if (given[item[at]] + impact[at]).max() > threshold / 2:
-            break
+        if (given[item[at]] + impact[at]).max() > threshold * COMMON:
+            continue
         given[item[at]] += impact[at]
         common[t] = True
     postings = []
@@ -106,8 +110,8 @@ def build(items: list[tuple[int, str]], threshold: float) -> Index | None:
         at = slice(begins[t], begins[t + 1])
         postings.append((item[at], impact[at], np.maximum.reduceat(impact[at], np.arange(0, df[t], BLOCK))))
     longest = int(lengths.max())
-    stride = max(16, longest // 2)
-    return Index(np.array([i for i, _ in items], object), parts, terms, postings, top, ~common, threshold - float(given.max()), longest + stride, stride)
+    stride = max(16, longest)
+    return Index(np.array([i for i, _ in items], object), parts, terms, postings, top, ~common, threshold - given, begins, item, impact, longest + stride, stride)
 
 
 def block_max_wand(index: Index, query: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -174,24 +178,30 @@ class Matcher:
             high = inner // x.stride
             low = np.maximum(0, (inner - x.window) // x.stride + 1)
             spread = (high - low + 1).astype(np.int64)
-            begin = np.concatenate(([0], np.cumsum(spread)))
-            number = np.arange(begin[-1]) - np.repeat(begin[:-1], spread) + np.repeat(low, spread)
-            cells = np.stack([np.repeat(docs, spread), number, np.repeat(term[at], spread)])
-            order = np.lexsort(cells[::-1])
-            cells = cells[:, order]
-            fresh = np.ones(cells.shape[1], bool)
-            fresh[1:] = (cells[:, 1:] != cells[:, :-1]).any(0)
-            cells = cells[:, fresh]
-            edge = np.flatnonzero(np.concatenate(([True], (cells[:2, 1:] != cells[:2, :-1]).any(0))))
-            bound = np.add.reduceat(x.top[cells[2]], edge)
-            for k in edge[bound >= x.least - 1e-9]:
-                doc, passage = int(cells[0, k]), int(cells[1, k])
+            # Passages are numbered through the scan; a cell is a distinct (passage, item, term).
+            lengths = np.diff(s.splits)
+            first = np.concatenate(([0], np.cumsum(lengths // x.stride + 1)))
+            df = (x.begins[1:] - x.begins[:-1])[term[at]]
+            times = spread * df
+            end = np.cumsum(times)
+            inside = np.arange(end[-1]) - np.repeat(end - times, times)
+            wide = np.repeat(df, times)
+            passage = np.repeat(first[docs] + low, times) + inside // wide
+            posting = np.repeat(x.begins[term[at]], times) + inside % wide
+            size = len(x.items)
+            cells = np.unique((passage * size + x.item[posting]) * len(x.item) + posting)
+            pair, posting = cells // len(x.item), cells % len(x.item)
+            edge = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+            enough = np.add.reduceat(x.impact[posting], edge) >= x.least[pair[edge] % size] - 1e-9
+            for number in np.unique(pair[edge[enough]] // size).tolist():
+                doc = int(np.searchsorted(first, number, side="right")) - 1
+                passage = number - int(first[doc])
                 a = int(s.splits[doc]) + passage * x.stride
                 b = min(a + x.window, int(s.splits[doc + 1]))
                 found = term[a:b]
                 hits = block_max_wand(x, np.unique(found[found >= 0]), self.threshold)
                 if hits:
-                    grams = trigrams(h[a:b])
+                    grams = np.concatenate((trigrams(h[a:b]), h[a:b]))
                     for item, score in hits:
                         question, answer = (float(np.isin(p, grams).mean()) if len(p) else 1.0 for p in x.parts[item])
                         if question >= self.overlap and answer >= self.overlap:
