@@ -10,6 +10,7 @@ first met and kept in a table of bounded size.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 import struct
@@ -22,9 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import column, map_batches, text_of
+from .words import SPACE, PieceTable, scan
 
-#: Distinct space-delimited pieces, and transducer states, that a worker remembers before it starts afresh.
-MEMO_PIECES, MAX_STATES = 200_000, 100_000
+#: Matches of the pattern and transducer states that a worker remembers before it starts afresh.
+MEMO_MATCHES, MAX_STATES = 400_000, 120_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,7 +39,8 @@ class Transducer:
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {v: k for k, v in ranks.items()}
         self.starts = {k[:i] for k in ranks for i in range(1, len(k) + 1)}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[tuple[int | None, int], bool] = {}
+        self.splits: dict[int, tuple[int, int] | None] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -54,22 +57,48 @@ class Transducer:
             self.arcs.append({})
         return got
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Merges by rank, lowest first and leftmost among equals: the definition that the transducer is compiled from."""
+    def _parts(self, piece: bytes, least: int = 1) -> list[bytes]:
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
-            if best[0] == 1 << 60:
+        while len(parts) > least:
+            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            if rank == 1 << 60:
                 break
-            i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def merge(self, piece: bytes) -> list[int]:
+        """Merges by rank, lowest first and leftmost among equals: the definition that the transducer is compiled from."""
+        return [self.ranks[p] for p in self._parts(piece)]
+
+    def _split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes a token; None for a single byte."""
+        got = self.splits.get(token)
+        if got is None and len(piece := self.tokens[token]) > 1:
+            parts = self._parts(piece, 2)
+            got = self.splits[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return got
 
     def _fit(self, left: int | None, right: int) -> bool:
+        """Whether the encoding of both tokens' bytes together is just these tokens. Both are undone merge by merge, the
+        later one first: they fit if no two tokens that ever meet at the boundary would have merged before."""
         got = self.fits.get((left, right))
         if got is None:
-            a, b = self.tokens.get(left, b""), self.tokens[right]
-            got = self.fits[left, right] = self.merge(a + b) == ([right] if left is None else [left, right])
+            if left is None:
+                got = self.merge(self.tokens[right]) == [right]
+            else:
+                got, a, b, bound, tokens, ranks = None, left, right, 1 << 60, self.tokens, self.ranks
+                while got is None:
+                    if ranks.get(tokens[a] + tokens[b], 1 << 60) < bound:
+                        got = False
+                    else:
+                        sa, sb = self._split(a), self._split(b)
+                        if sa is None and sb is None:
+                            got = True
+                        elif sb is None or sa is not None and a > b:
+                            bound, a = a, sa[1]
+                        else:
+                            bound, b = b + 1, sb[0]
+            self.fits[left, right] = got
         return got
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -90,21 +119,21 @@ class Transducer:
         while drop < n and text[drop:] not in starts:
             drop += 1
         live = (*chains[drop:], chain)
-        first, shared, open_ = live[0], len(live[0]), False
-        for c in live:
-            k, most = 0, min(shared, len(c))
-            while k < most and c[k] == first[k]:
-                k += 1
-            shared = k
-            if not k:
-                break
-        out = first[:shared]
-        if shared:
-            live, last = tuple([c[shared:] for c in live]), out[-1]
-        for c in live:
-            if not c:
-                open_ = True
-                break
+        first, out = live[0], ()
+        if first:
+            head = first[0]
+            for c in live:
+                if not c or c[0] != head:
+                    break
+            else:
+                shared = min(map(len, live))
+                for k in range(1, shared):
+                    if any(c[k] != first[k] for c in live):
+                        shared = k
+                        break
+                out = first[:shared]
+                live, last = tuple([c[shared:] for c in live]), out[-1]
+        open_ = () in live
         # `last` is None before the first token; it does not matter where every live cut has a pending token.
         nxt = (text[drop:], live, last if open_ else -1)
         arc = (self._state(nxt), out)
@@ -138,32 +167,14 @@ class Transducer:
 _RUN = re.compile(r"\s\s")
 
 
-class Memo:
-    """Bounded memo in two generations: when the young one is full it becomes the old one, so what is often used stays."""
-
-    def __init__(self, most: int = MEMO_PIECES):
-        self.young, self.old, self.most = {}, {}, most
-
-    def get(self, key):
-        got = self.old.get(key)
-        if got is not None:
-            self.put(key, got)
-        return got
-
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.most:
-            self.old = dict(self.young)
-            self.young.clear()  # the same object: callers hold its get
-        self.young[key] = value
-
-
 class Encoder:
     """Text to little-endian unsigned 32-bit ids. Where no two white-space characters meet, text is cut before each
     space: no match of the pattern crosses such a cut, so equal pieces have equal ids and are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine, self.pattern = Transducer(ranks), regex.compile(pattern)
-        self.pieces, self.matches = Memo(), Memo()
+        self.matches: dict[str, bytes] = {}
+        self.table = PieceTable(lambda piece: self.encode(" " + piece.decode()))  # pieces by what follows their space
         size = max(ranks.values()) + 1
         tokens = [self.machine.tokens.get(i, b"") for i in range(size)]
         self.lengths = np.array([len(t) for t in tokens], np.int64)
@@ -171,34 +182,32 @@ class Encoder:
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
     def _match(self, match: str) -> bytes:
-        got = self.matches.get(match)
-        if got is None:
-            ids = self.machine.encode(match.encode())
-            got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(match) <= 64:
-                self.matches.put(match, got)
-        return got
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            get = self.matches.young.get
-            got = b"".join([get(m) or self._match(m) for m in self.pattern.findall(piece)])
-            if len(piece) <= 64:
-                self.pieces.put(piece, got)
+        ids = self.machine.encode(match.encode())
+        got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(match) <= 64:
+            if len(self.matches) >= MEMO_MATCHES:
+                self.matches.clear()
+            self.matches[match] = got
         return got
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _RUN.search(text):
-            parts = self.pattern.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            parts = [first] if first else []
-            parts += [" " + w for w in rest]
-        get, new = self.pieces.young.get, self._piece
-        return b"".join([get(p) or new(p) for p in parts])
+        get, new = self.matches.get, self._match
+        return b"".join([get(m) or new(m) for m in self.pattern.findall(text)])
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """encode() of each text, by pieces where a text can be cut."""
+        for s in scan(texts, SPACE, cased=True):
+            inner = np.ones(len(s.starts), bool)
+            inner[s.splits[:-1][np.diff(s.splits) > 0]] = False  # first pieces have no space before them
+            which = np.flatnonzero(inner)
+            ids, lengths = self.table.ids(s, which)
+            cut = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(inner)))[s.splits]].tolist()
+            for k, (a, b) in enumerate(zip(s.offsets.tolist(), s.offsets[1:].tolist())):
+                raw = s.data[a:b].tobytes()
+                if not raw or raw[0] == 32 or raw[-1] == 32 or _RUN.search(text := raw.decode()):
+                    yield self.encode(raw.decode())
+                else:
+                    yield self.encode(text.partition(" ")[0]) + ids[cut[k] : cut[k + 1]].tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         at = np.frombuffer(ids, "<u4").astype(np.int64)
@@ -239,6 +248,8 @@ class Utf8Stream:
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
+    # The memos hold many small objects and no cycles: full collections would walk them again and again.
+    gc.set_threshold(200_000, 50, 100)
     return Encoder(load_ranks(path), pattern)
 
 
@@ -249,8 +260,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, step: int = 1 << 16)
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = encoder(path, pattern)
         rows: list[tuple] = []
-        for text in column(batch, "text").to_pylist():
-            ids = coder.encode(text)
+        for ids in coder.encode_all(column(batch, "text")):
             machine, digest, out = Utf8Stream(), hashlib.sha256(), []
             for at in range(0, len(ids), 4 * step):
                 part = coder.decode(ids[at : at + 4 * step])

@@ -7,7 +7,7 @@ word. Two different words share a hash with probability near 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,16 +19,20 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _byte_values() -> np.ndarray:
+def _byte_values(cased: bool) -> np.ndarray:
     values = np.random.default_rng(20260101).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    values[65:91] = values[97:123]
+    if not cased:
+        values[65:91] = values[97:123]
     return values
 
 
-_VALUES = _byte_values()
+_VALUES = {cased: _byte_values(cased) for cased in (False, True)}
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
+#: The space alone.
+SPACE = np.zeros(256, bool)
+SPACE[32] = True
 #: Every ASCII byte but letters, digits and the apostrophe.
 NON_WORD = np.array([b < 128 and not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123) for b in range(256)])
 
@@ -103,7 +107,7 @@ def pieces(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def scan(texts: pa.Array, separators: np.ndarray = WHITE, hashed: bool = True) -> Iterator[Scan]:
+def scan(texts: pa.Array, separators: np.ndarray = WHITE, hashed: bool = True, cased: bool = False) -> Iterator[Scan]:
     data, offsets = buffers(texts)
     for i, j in pieces(offsets):
         part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -119,11 +123,73 @@ def scan(texts: pa.Array, separators: np.ndarray = WHITE, hashed: bool = True) -
         ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
         sums, back = np.zeros(n + 1 if hashed else 0, np.uint64), None
         if hashed:
-            np.cumsum(_VALUES[part] * _power_table(_BASE, n)[:n], out=sums[1:])
+            np.cumsum(_VALUES[cased][part] * _power_table(_BASE, n)[:n], out=sums[1:])
             back = _power_table(_BASE_INVERSE, n + 1)
         yield Scan(i, part, offs, starts, ends, np.searchsorted(starts, offs), sums, back)
 
 
+class PieceTable:
+    """Token ids of the pieces of text that a worker has met, by hash: whole arrays of pieces are looked up and their ids
+    gathered at once; a new piece is encoded by the library and remembered. It starts afresh when it holds `most`."""
+
+    def __init__(self, encode: Callable[[bytes], bytes], most: int = 1_500_000):
+        self.encode, self.most, self.bits = encode, most, max(12, int(2 * most).bit_length())
+        self._clear()
+
+    def _clear(self) -> None:
+        size = 1 << self.bits
+        self.keys, self.rows = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        self.starts, self.flat, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        out, todo = np.full(len(hashes), -1, np.int32), np.arange(len(hashes))
+        while len(todo):
+            at = slot[todo]
+            row = self.rows[at]
+            hit = (row >= 0) & (self.keys[at] == hashes[todo])
+            out[todo[hit]] = row[hit]
+            todo = todo[(row >= 0) & ~hit]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def _add(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        coded = [self.encode(p) for p in pieces]
+        lengths = np.array([len(c) // 4 for c in coded], np.int64)
+        used, n = int(self.starts[self.count]), len(pieces)
+        if self.count + n + 1 > len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros(self.count + n + 1, np.int64)))
+        new = np.frombuffer(b"".join(coded), "<u4")
+        if used + len(new) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(used + len(new), np.uint32)))
+        self.flat[used : used + len(new)] = new
+        self.starts[self.count + 1 : self.count + n + 1] = used + np.cumsum(lengths)
+        mask, shift, rows, keys = (1 << self.bits) - 1, 64 - self.bits, self.rows, self.keys
+        for row, h in enumerate(hashes.tolist(), self.count):
+            slot = h >> shift
+            while rows[slot] >= 0:
+                slot = (slot + 1) & mask
+            rows[slot], keys[slot] = row, h
+        self.count += n
+
+    def ids(self, s: Scan, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words `which` of a scan, one after another; the number of ids of each)."""
+        unique, first, inverse = np.unique(s.hashes[which], return_index=True, return_inverse=True)
+        if self.count + len(unique) > self.most:
+            self._clear()
+        row = self._find(unique)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            at = which[first[new]]
+            self._add(unique[new], [s.data[a:b].tobytes() for a, b in zip(s.starts[at].tolist(), s.ends[at].tolist(), strict=True)])
+            row = self._find(unique)
+        row = row[inverse]
+        lengths = self.starts[row + 1] - self.starts[row]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[row] - (ends - lengths), lengths) + np.arange(total)], lengths
+
+
 class HashIndex:
     """Open-addressing table from 64-bit hashes to positions 0..n-1, looked up for whole arrays."""
 

@@ -29,6 +29,16 @@ def test_scan_agrees_with_split():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_piece_table_starts_afresh_when_full():
+    table = words.PieceTable(lambda p: np.frombuffer(p.ljust(8, b"_")[:8], "<u4").tobytes(), most=40)
+    rng = random.Random(6)
+    for _ in range(20):
+        texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(30)) for _ in range(3)]
+        for s in words.scan(pa.array(texts)):
+            ids, lengths = table.ids(s, np.arange(len(s.starts)))
+            assert ids.tobytes() == b"".join(w.encode().ljust(8, b"_")[:8] for t in texts for w in t.split()) and set(lengths) == {2}
+
+
 def test_hash_index_finds_all_and_only_its_keys():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 62, 5000).astype(np.uint64) << np.uint64(1))
@@ -47,8 +57,8 @@ def test_transducer_equals_merges_and_library():
     rng = random.Random(3)
     texts = ["", " ", "  two  spaces \n\n x", "don't I'll 's", "日本語 テスト", "a" * 400, "1234 56", " nbsp  ", "Thé é́ ñ", "x\n y\t\t z  "]
     texts += ["".join(rng.choice("the and on er  \n.é0ß") for _ in range(200)) for _ in range(50)]
-    for text in texts:
-        ids = coder.encode(text)
+    for text, ids in zip(texts, coder.encode_all(pa.array(texts)), strict=True):
+        assert ids == coder.encode(text)
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
         assert coder.decode(ids) == text.encode()
     for word in (b" theation", "éééß".encode(), b"ononononon"):
@@ -226,6 +236,6 @@ def test_near_vectors_have_near_fingerprints():
 def test_crc_of_ids():
     coder = repair.WordCoder(public_tokenizers.path("word_bpe_49k.json"), 2)
     for text in ("Hello  World don't", "", "ÀÉ x <|endoftext|>", "á b"):
-        ids = np.frombuffer(coder.encode(text), "<u4")
+        ids = np.frombuffer(next(coder.encode(pa.array([text]))), "<u4")
         assert ids.tolist() == [*coder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
         assert zlib.crc32(ids.tobytes()) >= 0
