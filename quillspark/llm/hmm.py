@@ -184,7 +184,7 @@ class Scorer:
         ends = train.count()
         n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         tokens, distinct = n + ends, v + (ends > 0)
-        top = counts.orderBy(F.desc("c"), "w").limit(self.head).collect()
+        top = self.most_frequent(counts)
         words = np.array([r.w for r in top], np.int64).view(np.uint64)
         seen = np.array([r.c for r in top], np.int64)
         own = min(self.own, len(top))
@@ -198,7 +198,9 @@ class Scorer:
         prior /= prior.sum()
         within = np.log10(buckets[:, 0] + 0.1 * (buckets[:, 1] + 1))
         encoded = stage(spark, self.encode(rows, spark.sparkContext.broadcast((words, seen, own, within))), "encoded")
-        sample = encoded.where(~F.col("held_out")).orderBy(F.xxhash64("doc_id", "rid")).limit(self.init_docs)
+        # Each training document with the same chance, so that about init_docs come, from all over the corpus.
+        lot = F.pmod(F.xxhash64("doc_id", "rid"), F.lit(1 << 40))
+        sample = encoded.where(~F.col("held_out") & (lot * float(ends) < float(1 << 40) * self.init_docs)).orderBy("rid") if ends > self.init_docs else encoded.where(~F.col("held_out")).orderBy("rid")
         model = initial([np.frombuffer(r.seq, "<u2").astype(np.int32) for r in sample.select("seq").collect()], self.states, prior, self.init_rounds)
         for _ in range(self.rounds):
             model = maximise(self.counted(encoded.where(~F.col("held_out")).select("seq"), model), prior)
@@ -212,6 +214,17 @@ class Scorer:
             (F.col("path") + F.col("counted") - F.col("own_counted") - F.col("within")).alias("score"),
         )
 
+    def most_frequent(self, counts: DataFrame) -> list:
+        """Words in order of count, at most `head` of them: the counts' histogram on a logarithmic scale gives the least
+        count, so that no task sends more than its share of the head to the driver."""
+        step = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
+        room, least = self.head, None
+        for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step):
+            if r.n > room:
+                break
+            room, least = room - r.n, r.step
+        return sorted(counts.where(step >= least).collect(), key=lambda r: (-r.c, r.w)) if least is not None else []
+
     def encode(self, rows: DataFrame, shared) -> DataFrame:
         """Per document: its symbols, the summed log10(c + 0.1) of head words (and of those that are symbols of their
         own), the summed class denominators, and the tail words to be joined."""
