@@ -19,6 +19,7 @@ an empty table gives an empty dataset. Other columns are ignored.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,36 +27,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Memo
 from .common import column, stage, text_of
+from .words import PieceTable, scan
 
 BLOCK_IDS, ROUNDS, MIN_COUNT = 1 << 20, 4, 6
 _HEAD = struct.Struct("<4sIIIII")
 
 
 class WordCoder:
-    """The tokenizers library, asked once for each piece between ASCII white space: the tokenizer's pre-tokenizer never
-    lets a token cross white space, so equal pieces have equal ids and are remembered."""
+    """The tokenizers library, asked once for each piece between ASCII white space: the tokenizer lower-cases, and its
+    pre-tokenizer never lets a token cross white space, so pieces that are equal up to the case of A-Z have equal ids."""
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), struct.pack("<I", end)
         self.tokenizer.encode_special_tokens = True
-        self.memo = Memo()
+        self.table = PieceTable(self._piece)
 
     def _piece(self, piece: bytes) -> bytes:
-        got = self.memo.get(piece)
-        if got is None:
-            ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
-            got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(piece) <= 64:
-                self.memo.put(piece, got)
-        return got
+        ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> bytes:
-        get, new = self.memo.young.get, self._piece
-        return b"".join([get(p) or new(p) for p in text.encode().split()]) + self.end
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text, with the end."""
+        for s in scan(texts):
+            ids, lengths = self.table.ids(s, np.arange(len(s.starts)))
+            cut = np.concatenate(([0], np.cumsum(lengths)))[s.splits].tolist()
+            for a, b in zip(cut, cut[1:]):
+                yield ids[a:b].tobytes() + self.end
 
 
 @lru_cache(maxsize=2)
@@ -203,8 +203,7 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int = 2, bl
             )
 
         for batch in batches:
-            for doc, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text"), strict=True):
-                coded = words.encode(text.as_py())
+            for doc, coded in zip(column(batch, "doc_id").to_pylist(), words.encode(column(batch, "text")), strict=True):
                 if held and size + len(coded) // 4 > block:
                     yield flush()
                     held, ids, first, number, size = [], [], first + size, number + 1, 0
