@@ -5,9 +5,10 @@
    0..Q+1. Registers of a union are maxima of registers, so sketches merge.
 2. Documents with equal sets form one class, grouped by signature with partial aggregation: a group of any number of
    copies costs one row a task. Later steps see one row per class.
-3. Bands of registers make candidate classes. A band value shared by many classes is compared against its smallest
-   class only (a star). Stars that leave a band value with more than one component are finished by comparing all its
-   classes across components, block by block. No pair within a component is made then, and no candidate is dropped.
+3. Bands of registers make candidate classes. The classes of a band value are compared against its smallest class
+   only (a star), then in a few rounds against another pivot where several components are left. What still has more
+   than one component is finished by comparing its classes across components, block by block. No pair within a
+   component is made then, and no candidate is dropped.
 4. A candidate's Jaccard similarity is estimated jointly from both sketches and both set sizes by maximum likelihood;
    pairs whose estimate is far below the threshold, or whose sizes rule the threshold out, go.
 5. The rest are verified on full sets, which are computed again for those classes alone (a Bloom filter of bounded
@@ -35,6 +36,8 @@ ROWS = 5
 #: How far below the threshold an estimate may lie and still be verified: five standard errors at 0.85.
 MARGIN = 0.18
 BLOCK = 256
+#: Rounds in which band values with several components get another pivot, before all their classes are compared.
+PIVOTS = 3
 _MULTIPLIERS = np.random.default_rng(9).integers(0, 1 << 63, size=M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -199,11 +202,11 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after_large = stage(spark, large.where(F.col("a") != F.col("b")).distinct(), "large")
+        after_large = large.where(F.col("a") != F.col("b")).distinct()
         least = after_large.groupBy("a").agg(F.min("b").alias("m"))
         small = after_large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         nxt = stage(spark, small.where(F.col("a") != F.col("b")).distinct(), "small")
-        discard(spark, after_large, edges)
+        discard(spark, edges)
         edges = nxt
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if now == mark:
@@ -224,27 +227,59 @@ def _cross(bands: DataFrame, threshold: float) -> DataFrame:
     open_ = sized.where((F.col("size") > 2) & (F.col("parts") > 1)).select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     dealt = bands.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     row = F.struct("node", "component", "n", "registers")
-    blocks = dealt.groupBy("band", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(row).alias("rows"))
-    left = blocks.select("band", "block", F.col("rows").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
+    blocks = dealt.groupBy("band", "place", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(row).alias("rows"))
+    left = blocks.select("band", "place", "block", F.col("rows").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
     joined = left.join(blocks.select("band", F.col("block").alias("other"), F.col("rows").alias("right")), ["band", "other"])
+    joined = joined.select("place", (F.col("block") == F.col("other")).alias("same"), "left", "right")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, b = [], []
-        for left, right in zip(column(batch, "left").to_pylist(), column(batch, "right").to_pylist(), strict=True):
+        for place, same, left, right in zip(*(column(batch, c).to_pylist() for c in ("place", "same", "left", "right")), strict=True):
             ra, rb = (np.frombuffer(b"".join(x["registers"] for x in side), "<u2").reshape(-1, M) for side in (left, right))
             na, nb = (np.array([x["n"] for x in side], float) for side in (left, right))
-            for i, x in enumerate(left):
-                at = np.flatnonzero((np.minimum(na[i], nb) >= threshold * np.maximum(na[i], nb)) & ((rb == ra[i]).sum(1) >= M * (threshold - MARGIN) * 0.8))
-                at = at[[right[k]["component"] != x["component"] for k in at]] if len(at) else at
-                if len(at):
-                    above, below = (ra[i] > rb[at]).sum(1), (ra[i] < rb[at]).sum(1)
-                    j = estimate(above, below, M - above - below, np.full(len(at), na[i]), nb[at])
-                    for k in at[j >= threshold - MARGIN]:
-                        a.append(min(x["node"], right[k]["node"]))
-                        b.append(max(x["node"], right[k]["node"]))
+            number = {c: i for i, c in enumerate({x["component"] for x in left} | {x["component"] for x in right})}
+            ca, cb = (np.array([number[x["component"]] for x in side]) for side in (left, right))
+            for at in range(0, len(left), 64):
+                rows = slice(at, at + 64)
+                open_pair = (ca[rows, None] != cb[None]) & (np.minimum(na[rows, None], nb[None]) >= threshold * np.maximum(na[rows, None], nb[None]))
+                if same:
+                    open_pair &= np.arange(at, at + len(na[rows]))[:, None] < np.arange(len(nb))[None]
+                if not open_pair.any():
+                    continue
+                equal = ra[rows, None, :] == rb[None]
+                # A pair is taken where it first shares a band value, and nowhere else.
+                first = equal.reshape(*equal.shape[:2], -1, ROWS).all(3).argmax(2) == place
+                i, j = np.nonzero(open_pair & first & (equal.sum(2) >= M * (threshold - MARGIN) * 0.8))
+                if len(i):
+                    x, y = ra[rows][i], rb[j]
+                    above, below = (x > y).sum(1), (x < y).sum(1)
+                    likely = estimate(above, below, M - above - below, na[rows][i], nb[j]) >= threshold - MARGIN
+                    for k, m in zip((i[likely] + at).tolist(), j[likely].tolist(), strict=True):
+                        a.append(min(left[k]["node"], right[m]["node"]))
+                        b.append(max(left[k]["node"], right[m]["node"]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return map_batches(joined.select("left", "right"), kernel, "a binary, b binary").distinct()
+    return map_batches(joined, kernel, "a binary, b binary").distinct()
+
+
+def _starred(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs (a, b) of pairs (a, n_a, b, n_b), which may repeat."""
+    fit = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
+    once = pairs.where(fit).groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    registers = classes.select("node", "registers")
+    joined = once.join(registers.withColumnsRenamed({"node": "a", "registers": "r_a"}), "a").join(registers.withColumnsRenamed({"node": "b", "registers": "r_b"}), "b")
+    return _estimated(joined, threshold)
+
+
+def _pivots(members: DataFrame, used: DataFrame) -> DataFrame:
+    """(band, node, n, component): for each band value with more than two classes in more than one component, a class
+    that was no pivot yet, of its largest component there. A family's source links to all of its copies, while copies
+    often link to the source alone: once a pivot has found the source, the source is the next pivot and gathers them."""
+    parts = members.groupBy("band", "component").agg(F.count("*").alias("share"))
+    open_ = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("share").alias("size")).where("parts > 1 AND size > 2").select("band")
+    fresh = members.join(open_, "band", "left_semi").join(used, ["band", "node"], "left_anti").join(parts, ["band", "component"])
+    best = fresh.groupBy("band").agg(F.min_by(F.struct("node", "n", "component"), F.struct(-F.col("share"), F.xxhash64("node"), "node")).alias("p"))
+    return best.select("band", "p.node", "p.n", "p.component")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -254,21 +289,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     sketched = stage(spark, _sketched(source), "sketched")
     classes = stage(spark, sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("registers", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(M // ROWS)))
-    bands = stage(spark, classes.select("node", "n", F.explode(keys).alias("band")), "bands")
-
-    leaders = bands.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lead")).where("size > 1")
-    leaders = leaders.select("band", F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a"))
-    stars = bands.join(leaders, "band").where(F.col("node") != F.col("a")).where(F.least("n", "n_a") >= threshold * F.greatest("n", "n_a"))
-    stars = stars.groupBy("a", F.col("node").alias("b")).agg(F.first("n_a").alias("n_a"), F.first("n").alias("n_b"))
-    registers = classes.select("node", "registers")
-    stars = stars.join(registers.withColumnsRenamed({"node": "a", "registers": "r_a"}), "a").join(registers.withColumnsRenamed({"node": "b", "registers": "r_b"}), "b")
-    first = _verified(spark, source, stage(spark, _estimated(stars, threshold), "stars"), percent)
+    bands = classes.select("node", "n", F.posexplode(keys).alias("place", "band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1")
+    # Band values that only one class has make no candidates: they go before anything is written.
+    bands = stage(spark, bands.join(shared, "band").select("band", "place", "node", "n", "lead"), "bands")
+
+    leaders = bands.where(F.col("node") == F.col("lead")).select("band", F.col("node").alias("a"), F.col("n").alias("n_a"))
+    stars = bands.join(leaders, "band").where(F.col("node") != F.col("a")).select("a", "n_a", F.col("node").alias("b"), F.col("n").alias("n_b"))
+    links = _verified(spark, source, stage(spark, _starred(stars, classes, threshold), "stars"), percent)
+    named = stage(spark, _with_component(spark, classes, components(spark, links)), "named")
+    used = leaders.select("band", F.col("a").alias("node"))
+    for _ in range(PIVOTS):
+        members = stage(spark, bands.select("band", "node").join(named.select("node", "component", "n"), "node"), "members")
+        pivots = stage(spark, _pivots(members, used), "pivots")
+        chosen = pivots.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of"))
+        rays = members.join(chosen, "band").where(F.col("component") != F.col("of"))
+        rays = rays.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), *(F.when((F.col("a") < F.col("node")) == first, F.col("n_a")).otherwise(F.col("n")).alias(name) for name, first in (("n_a", True), ("n_b", False))))
+        rays = stage(spark, _starred(rays, classes, threshold), "rays")
+        used = used.union(pivots.select("band", "node"))
+        discard(spark, members)
+        if rays.isEmpty():
+            break
+        found = _verified(spark, source, rays, percent)
+        if not found.isEmpty():
+            links = links.union(found)
+            named = stage(spark, _with_component(spark, classes, components(spark, links)), "named")
 
-    named = stage(spark, _with_component(spark, classes, components(spark, first)), "named")
-    members = bands.select("band", "node").join(named.select("node", "component", "n", "registers"), "node")
+    members = bands.select("band", "place", "node").join(named.select("node", "component", "n", "registers"), "node")
     crossing = stage(spark, _cross(members, threshold), "crossing")
     if not crossing.isEmpty():
-        links = first.union(_verified(spark, source, crossing, percent))
+        links = links.union(_verified(spark, source, crossing, percent))
         named = stage(spark, _with_component(spark, classes, components(spark, links)), "named")
     discard(spark, bands, crossing)
 
