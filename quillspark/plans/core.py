@@ -127,21 +127,21 @@ def fulltext_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _document_pages(spark, sf_dir)
     words = T.analyze_query("than erin")
     lex = pages.withColumn("lex", T.analyze(F.col("full_text"))).where(T.matches(F.col("lex"), words))
-    return lex.select("page_id", F.size("lex").cast("long").alias("length"), F.round(T.rank(F.col("lex"), words), 5).alias("rank"))
+    return lex.select("page_id", F.size("lex").cast("long").alias("length"), T.rank(F.col("lex"), words).alias("rank"))
 
 
 register("fulltext_ranked", fulltext_ranked, f"""
-SELECT doc_id AS page_id, len(lex) AS length, round({_sql_rank(["erin"])}, 5) AS rank
+SELECT doc_id AS page_id, len(lex) AS length, {_sql_rank(["erin"])} AS rank
 FROM (SELECT doc_id, {_LEX} AS lex FROM documents) WHERE list_contains(lex, 'erin')""")
 
 
 def fulltext_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = search.postings(_document_pages(spark, sf_dir))
-    return search.by_postings(index, "erin heat").select("page_id", F.round("rank", 5).alias("rank"))
+    return search.by_postings(index, "erin heat").select("page_id", "rank")
 
 
 register("fulltext_postings", fulltext_postings, f"""
-SELECT doc_id AS page_id, round({_sql_rank(["erin", "heat"])}, 5) AS rank
+SELECT doc_id AS page_id, {_sql_rank(["erin", "heat"])} AS rank
 FROM (SELECT doc_id, {_LEX} AS lex FROM documents) WHERE list_contains(lex, 'erin') AND list_contains(lex, 'heat')""")
 
 
@@ -151,7 +151,7 @@ def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = search.search_documents(
         _archive_texts(a), a.entities, a.ocr, "lot", columns=("document_id", "page_number"), limit=200, date_from="1995-01-01", date_to="1995-06-30", entity_type="amount", location="NATION_1", min_confidence=80.0
     )
-    return found.select("page_id", "document_id", "page_number", F.round("rank", 5).alias("rank"))
+    return found.select("page_id", "document_id", "page_number", "rank")
 
 
 def _archive_texts(a) -> DataFrame:
@@ -169,7 +169,7 @@ hits AS (
   AND EXISTS (SELECT 1 FROM entities_a e WHERE e.page_id = l.page_id AND e.entity_type = 'location' AND {_sql_similarity("e.raw_text", "NATION_1")} >= 0.3)
   AND EXISTS (SELECT 1 FROM ocr_a o WHERE o.page_id = l.page_id AND o.ocr_confidence >= 80))
 """
-register("search_filtered", search_filtered, _SEARCH_SQL + f"SELECT page_id, document_id, page_number, round({_sql_rank(['lot'])}, 5) AS rank FROM hits ORDER BY {_sql_rank(['lot'])} DESC, page_id LIMIT 200")
+register("search_filtered", search_filtered, _SEARCH_SQL + f"SELECT page_id, document_id, page_number, {_sql_rank(['lot'])} AS rank FROM hits ORDER BY {_sql_rank(['lot'])} DESC, page_id LIMIT 200")
 
 
 def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -877,12 +877,12 @@ register("month_exact", month_exact, "SELECT p_partkey, CAST((" + str([*range(1,
 
 def blended_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
-    # Sizes over 64 keep products away from ties at the fourth place.
-    return p.select("p_partkey", X.blended(F.col("p_size") / 64.0, F.when(F.col("p_partkey") % 5 > 0, (F.col("p_partkey") % 130).cast("double"))).alias("confidence"))
+    # Sizes over 63 keep products away from ties at the fourth place.
+    return p.select("p_partkey", X.blended(F.col("p_size") / 63.0, F.when(F.col("p_partkey") % 5 > 0, (F.col("p_partkey") % 130).cast("double"))).alias("confidence"))
 
 
 register("blended_confidence", blended_confidence, """
-SELECT p_partkey, round(CASE WHEN p_partkey % 5 = 0 THEN least(p_size / 64.0, 1.0) ELSE least(p_size / 64.0, 1.0) * least((p_partkey % 130) / 100.0, 1.0) END, 4) AS confidence FROM part""")
+SELECT p_partkey, round(CASE WHEN p_partkey % 5 = 0 THEN least(p_size / 63.0, 1.0) ELSE least(p_size / 63.0, 1.0) * least((p_partkey % 130) / 100.0, 1.0) END, 4) AS confidence FROM part""")
 
 
 def digit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
