@@ -31,6 +31,8 @@ from .common import column, stage, text_of
 from .words import PieceTable, scan
 
 BLOCK_IDS, ROUNDS, MIN_COUNT = 1 << 20, 4, 6
+#: Words that a worker remembers besides its table of pieces.
+WORDS = 400_000
 _HEAD = struct.Struct("<4sIIIII")
 
 
@@ -43,12 +45,27 @@ class WordCoder:
 
         self.tokenizer, self.end = Tokenizer.from_file(path), struct.pack("<I", end)
         self.tokenizer.encode_special_tokens = True
-        self.table = PieceTable(self._piece)
+        self.table, self.words = PieceTable(self._piece), {}
 
-    def _piece(self, piece: bytes) -> bytes:
+    def _ask(self, piece: bytes) -> bytes:
         ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _word(self, piece: bytes) -> bytes:
+        got = self.words.get(piece)
+        if got is None:
+            if len(self.words) >= WORDS:
+                self.words.clear()
+            got = self.words[piece] = self._ask(piece)
+        return got
+
+    def _piece(self, piece: bytes) -> bytes:
+        # The pre-tokenizer parts a run of letters from the mark after it, so the word is asked for once.
+        piece = piece.lower()
+        if len(piece) > 1 and piece[-1:] in (b".", b",") and piece[:-1].isalpha():
+            return self._word(piece[:-1]) + self._word(piece[-1:])
+        return self._word(piece) if len(piece) <= 64 else self._ask(piece)
+
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text, with the end."""
         for s in scan(texts):
