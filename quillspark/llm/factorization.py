@@ -73,14 +73,61 @@ def association(toxic: np.ndarray, seen: np.ndarray, positives: float, total: in
     return 2 * out
 
 
+def interacting(docs: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, toxic: np.ndarray, least: float, block: int = 1024) -> np.ndarray:
+    """Places of pairs that weigh together what they do not weigh alone: among the documents of either place, the other
+    one is associated with the label. The bound grows with the number of pairs, so that about one pair passes by
+    chance. Places that no partner can lift to the bound are left out before any pair is counted; every other pair
+    is, in blocks of columns, so memory does not grow with the vocabulary."""
+    rate = np.clip(toxic / np.maximum(seen, 1), 1e-12, 1 - 1e-12)
+    most = -2 * seen * (rate * np.log(rate) + (1 - rate) * np.log1p(-rate))  # of a partner that tells all labels
+    places = np.flatnonzero((seen >= 3) & (toxic > 0) & (most >= least))
+    bound = max(least, 2 * np.log(max(1, len(places) * (len(places) - 1) / 2)))
+    places = places[most[places] >= bound]
+    index = np.full(1 << BITS, -1, np.int32)
+    index[places] = np.arange(len(places))
+    column_of = [(r := index[d])[r >= 0] for d in docs]
+    owner = np.repeat(np.arange(len(docs)), [len(c) for c in column_of])
+    flat = np.concatenate(column_of) if column_of else np.zeros(0, np.int32)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    begins = np.searchsorted(flat, np.arange(0, len(places) + block, block))
+    is_toxic = labels > 0
+
+    def dense(k: int) -> np.ndarray:
+        at = slice(begins[k], begins[k + 1])
+        out = np.zeros((len(docs), min(block, len(places) - k * block)), np.float32)
+        out[owner[at], flat[at] - k * block] = 1
+        return out
+
+    n, t, found = seen[places].astype(float), toxic[places].astype(float), np.zeros(len(places), bool)
+    for i in range(len(begins) - 1):
+        left = dense(i)
+        for j in range(i, len(begins) - 1):
+            right = left if i == j else dense(j)
+            both = left.T @ right
+            a, b = np.nonzero(np.triu(both, 1) >= 3 if i == j else both >= 3)
+            both_toxic = (left[is_toxic].T @ right[is_toxic])[a, b].astype(float)
+            both, a, b = both[a, b].astype(float), a + i * block, b + j * block
+            for _ in range(2):
+                # G squared is at most twice Pearson's statistic, which needs no logarithms.
+                likely = 2 * n[a] * (both_toxic * n[a] - both * t[a]) ** 2.0 >= (bound - 1e-6) * both * (n[a] - both) * t[a] * (n[a] - t[a])
+                a, b, both, both_toxic = a[likely], b[likely], both[likely], both_toxic[likely]
+                strong = association(both_toxic, both, t[a], n[a]) >= bound
+                a, b, both, both_toxic = b[strong], a[strong], both[strong], both_toxic[strong]
+            found[a] = found[b] = True
+    return places[found]
+
+
 def train(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 20, rate: float = 0.1, l1: float = 1e-4, l2: float = 1e-3, least: float = 12.0, seed: int = 7) -> Machine:
     """Proximal AdaGrad over mini-batches of 64 documents, on the places seen in 3 documents or more whose
-    likelihood-ratio statistic against the label is at least `least`: the other terms are noise at this sample size."""
+    likelihood-ratio statistic against the label is at least `least`, alone or in a pair (see `interacting`): the other
+    terms are noise at this sample size."""
     if not len(labels):
         return Machine(-50.0, np.zeros(0, np.int64), np.zeros(1), np.zeros((1, factors)))
     seen = np.bincount(np.concatenate(docs), minlength=1 << BITS) if docs else np.zeros(1 << BITS, int)
     toxic = np.bincount(np.concatenate([d for d, y in zip(docs, labels, strict=True) if y] or [np.zeros(0, np.int64)]), minlength=1 << BITS)
-    places = np.flatnonzero((seen >= 3) & (association(toxic, seen, labels.sum(), len(labels)) >= least))
+    alone = np.flatnonzero((seen >= 3) & (association(toxic, seen, labels.sum(), len(labels)) >= least))
+    places = np.union1d(alone, interacting(docs, labels, seen, toxic, least))
     index = np.full(1 << BITS, -1, np.int32)
     index[places] = np.arange(len(places))
     docs = [(r := index[d])[r >= 0] for d in docs]

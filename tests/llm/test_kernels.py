@@ -192,6 +192,28 @@ def test_machine_learns_an_interaction():
     assert right >= 295
 
 
+def test_machine_learns_a_pair_of_words_that_are_neutral_alone():
+    rng = np.random.default_rng(3)
+    docs, labels = [], []
+    for _ in range(5000):
+        one, two = (rng.random(2) < 0.1).tolist()
+        insult = rng.random() < (0.01 if one != two else 0.11)
+        noise = rng.choice(np.arange(1000, 3000), 20, replace=False)
+        docs.append(np.unique(np.concatenate((noise, [1] * one, [2] * two, [3] * insult)).astype(np.int64)))
+        labels.append(float(insult or (one and two)))
+    labels = np.array(labels)
+    known, truth = docs[:4000], labels[:4000]
+    seen = np.bincount(np.concatenate(known), minlength=4)
+    toxic = np.bincount(np.concatenate([d for d, y in zip(known, truth, strict=True) if y]), minlength=len(seen))
+    assert factorization.association(toxic, seen, truth.sum(), len(truth))[[1, 2]].max() < 12
+    m = factorization.train(known, truth)
+    pairs = [d for d in docs[4000:] if {1, 2} <= set(d.tolist()) and 3 not in d]
+    single = [d for d in docs[4000:] if len({1, 2} & set(d.tolist())) == 1 and 3 not in d]
+    margin = lambda d: m.margins(r := m.row[d][m.row[d] >= 0], np.array([0, len(r)]))[0]
+    assert len(pairs) >= 5 and all(margin(d) > 0 for d in pairs)
+    assert len(single) > 100 and all(margin(d) < 0 for d in single)
+
+
 PAGE = (
     "<html><head><title>t</title><script>var x='<p>no</p>';</script></head><body><header><h1>Site</h1></header><nav><ul>{nav}</ul></nav>"
     "<div class='cookie-notice'>We use cookies</div><article><h1>A &amp; B</h1>{body}<form><input><label>Mail</label></form></article>"
