@@ -46,6 +46,21 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(expected)
 
 
+def test_word_error_rate_of_every_item(spark):
+    benchmark = pd.read_parquet(f"{SF}/benchmark.parquet")
+    got = registry.queries()["wer_by_doc"](spark, SF).toPandas().set_index("item_id")["wer"]
+    assert not all(map(str.isascii, benchmark.text)) and sorted(got.index) == sorted(benchmark.item_id)
+    for item, text in zip(benchmark.item_id, benchmark.text, strict=True):
+        wrong = text.translate(str.maketrans("ae", "eo", "T")).replace("on ", "in  ") + (" the end" if item % 3 == 0 else "")
+        a, b = wrong.split(), text.split()
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        assert abs(got[item] - row[-1] / len(b)) < 1e-6
+
+
 def test_filters_reach_the_scan(spark, capsys):
     registry.queries()["date_range_narrow"](spark, SF).explain("formatted")
     assert "l_extendedprice" not in capsys.readouterr().out
