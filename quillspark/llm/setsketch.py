@@ -30,17 +30,25 @@ from pyspark.sql import functions as F
 from .common import column, discard, map_batches, stage, text_of
 from .words import mix64, scan, shingles
 
-#: SetSketch parameters: registers, base, rate, largest value; bands of ROWS registers.
+#: SetSketch parameters: registers, base, rate, largest value.
 M, BASE, RATE, Q = 100, 1.001, 20.0, (1 << 16) - 2
-ROWS = 5
-#: How far below the threshold an estimate may lie and still be verified: five standard errors at 0.85.
-MARGIN = 0.18
+#: Registers a band from a threshold on: bands miss about 8 in a million pairs at 0.85 by fives, 2 at 0.80 by fours.
+ROWS = ((0.85, 5), (0.75, 4), (0.6, 2), (0.0, 1))
 BLOCK = 256
 #: Rounds in which band values with several components get another pivot, before all their classes are compared.
 PIVOTS = 3
 _MULTIPLIERS = np.random.default_rng(9).integers(0, 1 << 63, size=M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def rows_of(threshold: float) -> int:
+    return next(rows for least, rows in ROWS if threshold >= least)
+
+
+def margin(threshold: float) -> float:
+    """How far below the threshold an estimate may lie and still be verified: five standard errors, 0.18 at least."""
+    return max(0.18, 5 * float(np.sqrt(threshold * (1 - threshold) / M)))
+
+
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
     """Registers (n, M) of non-empty sets of mixed 64-bit hashes."""
     out = np.empty((len(sets), M), np.uint16)
@@ -167,7 +175,7 @@ def _estimated(pairs: DataFrame, threshold: float) -> DataFrame:
         ra, rb = (np.frombuffer(b"".join(column(batch, c).to_pylist()), "<u2").reshape(-1, M) for c in ("r_a", "r_b"))
         above, below = (ra > rb).sum(1), (ra < rb).sum(1)
         j = estimate(above, below, M - above - below, *(column(batch, c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b")))
-        keep = pa.array(j >= threshold - MARGIN)
+        keep = pa.array(j >= threshold - margin(threshold))
         return pa.RecordBatch.from_arrays([column(batch, "a").filter(keep), column(batch, "b").filter(keep)], names=["a", "b"])
 
     return map_batches(pairs, kernel, "a binary, b binary")
@@ -248,12 +256,12 @@ def _cross(bands: DataFrame, threshold: float) -> DataFrame:
                     continue
                 equal = ra[rows, None, :] == rb[None]
                 # A pair is taken where it first shares a band value, and nowhere else.
-                first = equal.reshape(*equal.shape[:2], -1, ROWS).all(3).argmax(2) == place
-                i, j = np.nonzero(open_pair & first & (equal.sum(2) >= M * (threshold - MARGIN) * 0.8))
+                first = equal.reshape(*equal.shape[:2], -1, rows_of(threshold)).all(3).argmax(2) == place
+                i, j = np.nonzero(open_pair & first & (equal.sum(2) >= M * (threshold - margin(threshold)) * 0.8))
                 if len(i):
                     x, y = ra[rows][i], rb[j]
                     above, below = (x > y).sum(1), (x < y).sum(1)
-                    likely = estimate(above, below, M - above - below, na[rows][i], nb[j]) >= threshold - MARGIN
+                    likely = estimate(above, below, M - above - below, na[rows][i], nb[j]) >= threshold - margin(threshold)
                     for k, m in zip((i[likely] + at).tolist(), j[likely].tolist(), strict=True):
                         a.append(min(left[k]["node"], right[m]["node"]))
                         b.append(max(left[k]["node"], right[m]["node"]))
@@ -288,7 +296,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) ->
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     sketched = stage(spark, _sketched(source), "sketched")
     classes = stage(spark, sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
-    keys = F.array(*(F.xxhash64(F.lit(k), F.substring("registers", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(M // ROWS)))
+    rows = rows_of(threshold)
+    keys = F.array(*(F.xxhash64(F.lit(k), F.substring("registers", 2 * rows * k + 1, 2 * rows)) for k in range(M // rows)))
     bands = classes.select("node", "n", F.posexplode(keys).alias("place", "band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1")
     # Band values that only one class has make no candidates: they go before anything is written.

@@ -215,6 +215,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert setsketch.near_duplicates(spark, docs_of(spark, rows).where("false")).count() == 0
 
 
+def test_pipeline_drops_near_copies_from_four_fifths(spark):
+    from corpus_pipeline import drop_near_duplicates
+
+    words = [f"w{i}" for i in range(100)]
+    near = [{30: "x", 60: "y"}.get(i, w) for i, w in enumerate(words)]  # 86 of 106 shingles
+    far = [{10: "x", 40: "y", 70: "z"}.get(i, w) for i, w in enumerate(f"v{i}" for i in range(100))]  # 81 of 111
+    docs = docs_of(spark, [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(f"v{i}" for i in range(100))), (4, " ".join(far))])
+    assert sorted(r.doc_id for r in drop_near_duplicates(spark, docs, "").collect()) == [1, 3, 4]
+    assert sum(r.kept for r in setsketch.near_duplicates(spark, docs).collect()) == 4
+
+
 def test_crossing_blocks_find_what_stars_miss(spark, monkeypatch):
     monkeypatch.setattr(setsketch, "PIVOTS", 0)
     monkeypatch.setattr(setsketch, "BLOCK", 4)
