@@ -237,6 +237,18 @@ def test_page_main_text_and_wrapper():
     assert not matched and text == "other"
 
 
+def test_article_passages_stay_whatever_their_ids_and_boilerplate_goes():
+    source = (
+        "<main><article><h2 id='related-work'>Related</h2><p>one</p><section id='discussion'><p id='social-effects'>two <math><mi>x</mi></math></p></section>"
+        "<section class='search-methods'>three</section><div class='ad'>no</div><div class='share-buttons'>no</div><ul class='related-posts'><li>no</ul>"
+        "<div id='comments'>no</div><form>no</form><p>four</p></article></main>"
+    )
+    p = wrappers.Page(source)
+    assert p.text(p.kinds) == "Related\n\none\n\ntwo x\n\nthree\n\nfour"
+    p = wrappers.Page("<body><h2 id='related-work'>Related</h2><p id='hidden-costs'>text</p><div id='sidebar'>no</div></body>")
+    assert p.text(p.kinds) == "Related\n\ntext"
+
+
 @pytest.mark.parametrize("source", ["", "<", "<p", "a<b>c", "<!-- x", "<script>", "<p><b>x<br><p>y</p>", "<div hidden>x</div>y", "&lt;&#233;&bogus;", "</p></div>"])
 def test_broken_pages_do_not_fail(source):
     p = wrappers.Page(source)
