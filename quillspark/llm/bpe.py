@@ -174,7 +174,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine, self.pattern = Transducer(ranks), regex.compile(pattern)
         self.matches: dict[str, bytes] = {}
-        self.table = PieceTable(lambda piece: self.encode(" " + piece.decode()))  # pieces by what follows their space
+        self.table = PieceTable(self._spaced)  # pieces by what follows their space
         size = max(ranks.values()) + 1
         tokens = [self.machine.tokens.get(i, b"") for i in range(size)]
         self.lengths = np.array([len(t) for t in tokens], np.int64)
@@ -194,6 +194,10 @@ class Encoder:
         get, new = self.matches.get, self._match
         return b"".join([get(m) or new(m) for m in self.pattern.findall(text)])
 
+    def _spaced(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [self.encode(" " + p.decode()) for p in pieces]
+        return np.frombuffer(b"".join(coded), "<u4"), np.array([len(c) // 4 for c in coded], np.int64)
+
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         """encode() of each text, by pieces where a text can be cut."""
         for s in scan(texts, SPACE, cased=True):

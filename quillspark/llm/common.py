@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,21 +13,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Bytes of text a kernel looks at in one go; longer documents are taken one at a time.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text a kernel looks at in one go, so that its arrays stay in the cache; longer documents are taken one at a time.
+CHUNK_BYTES = 1 << 17
+#: Bytes of an Arrow batch, at most (or one row): a worker's memory does not follow the length of its rows.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can read: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that every executor can read: spark.checkpoint.dir. Where that is unset, a local session gets a temporary
+    folder that goes with the process; on a cluster it must be set."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        made = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        conf = "file://" + made
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quillspark/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that this application staged: call it once the results are written. Frames that an operator
+    returned read staged tables until then."""
+    _delete(spark, f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stage(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
@@ -40,8 +60,7 @@ def stage(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete staged tables that no later step reads."""
     for df in frames:
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, df._staged_at)
 
 
 def fold(column: str, modulus: int) -> F.Column:
@@ -61,8 +80,16 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches of this session, unless it has a lower bound already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """mapInArrow with a kernel from one record batch to one record batch (or None for no rows)."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,11 +2,13 @@
 
 Words are maximal runs of bytes that are not separators; A-Z counts as a-z. Each word gets a 64-bit hash (a
 polynomial over a fixed random byte table, finished by a multiply-xorshift mixer), so no Python object is made per
-word. Two different words share a hash with probability near 2**-64.
+word. Two different words share a hash with probability near 2**-64. A polynomial modulo 2**64 can be made to collide by
+words of a thousand bytes and more that are built for it, so words over LONG bytes are hashed by BLAKE2 instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,8 @@ def _byte_values(cased: bool) -> np.ndarray:
 
 
 _VALUES = {cased: _byte_values(cased) for cased in (False, True)}
+#: Bytes up to which a word's hash is a polynomial.
+LONG = 512
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
@@ -46,7 +50,7 @@ def _power_table(base: int, n: int) -> np.ndarray:
         have = np.full(size, np.uint64(base), np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size > 4 * CHUNK_BYTES:
+        if size > 32 * CHUNK_BYTES:
             return have
         _powers[base] = have
     return have
@@ -72,10 +76,15 @@ class Scan:
     splits: np.ndarray
     sums: np.ndarray
     back: np.ndarray
+    cased: bool = False
 
     @property
     def hashes(self) -> np.ndarray:
-        return mix64((self.sums[self.ends] - self.sums[self.starts]) * self.back[self.starts])
+        out = mix64((self.sums[self.ends] - self.sums[self.starts]) * self.back[self.starts])
+        for k in np.flatnonzero(self.ends - self.starts > LONG).tolist():
+            word = self.data[self.starts[k] : self.ends[k]].tobytes()
+            out[k] = int.from_bytes(hashlib.blake2b(word if self.cased else word.lower(), digest_size=8).digest(), "little")
+        return out
 
     def prefix_hashes(self, length: int) -> np.ndarray:
         """Hashes of the first bytes of each word, tagged with the length; whole words where they are no longer."""
@@ -107,7 +116,8 @@ def pieces(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def scan(texts: pa.Array, separators: np.ndarray = WHITE, hashed: bool = True, cased: bool = False) -> Iterator[Scan]:
+def scan(texts: pa.Array, separators: np.ndarray = WHITE, hashed: bool = True, cased: bool = False, cuts: np.ndarray | None = None) -> Iterator[Scan]:
+    """Scans of the texts. With `cuts`, a (256, 256) table, a word also ends where cuts[byte, next byte] holds."""
     data, offsets = buffers(texts)
     for i, j in pieces(offsets):
         part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -115,6 +125,8 @@ def scan(texts: pa.Array, separators: np.ndarray = WHITE, hashed: bool = True, c
         inside = ~separators[part]
         edge = np.zeros(n + 1, bool)
         edge[offs] = True
+        if cuts is not None and n > 1:
+            edge[1:n] |= cuts.take((part[:-1].astype(np.int64) << 8) | part[1:])
         before = np.zeros(n, bool)
         before[1:] = inside[:-1]
         starts = np.flatnonzero(inside & (~before | edge[:n]))
@@ -125,14 +137,15 @@ def scan(texts: pa.Array, separators: np.ndarray = WHITE, hashed: bool = True, c
         if hashed:
             np.cumsum(_VALUES[cased][part] * _power_table(_BASE, n)[:n], out=sums[1:])
             back = _power_table(_BASE_INVERSE, n + 1)
-        yield Scan(i, part, offs, starts, ends, np.searchsorted(starts, offs), sums, back)
+        yield Scan(i, part, offs, starts, ends, np.searchsorted(starts, offs), sums, back, cased)
 
 
 class PieceTable:
     """Token ids of the pieces of text that a worker has met, by hash: whole arrays of pieces are looked up and their ids
-    gathered at once; a new piece is encoded by the library and remembered. It starts afresh when it holds `most`."""
+    gathered at once; new pieces are encoded together and remembered. It starts afresh when it holds `most`."""
 
-    def __init__(self, encode: Callable[[bytes], bytes], most: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000):
+        """encode: pieces to (their ids one after another, the number of ids of each)."""
         self.encode, self.most, self.bits = encode, most, max(12, int(2 * most).bit_length())
         self._clear()
 
@@ -143,47 +156,58 @@ class PieceTable:
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        out, todo = np.full(len(hashes), -1, np.int32), np.arange(len(hashes))
+        row = self.rows[slot]
+        out = np.where(self.keys[slot] == hashes, row, -1)
+        todo = np.flatnonzero((row >= 0) & (out < 0))
         while len(todo):
-            at = slot[todo]
+            at = slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
             row = self.rows[at]
             hit = (row >= 0) & (self.keys[at] == hashes[todo])
             out[todo[hit]] = row[hit]
             todo = todo[(row >= 0) & ~hit]
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
         return out
 
     def _add(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
-        coded = [self.encode(p) for p in pieces]
-        lengths = np.array([len(c) // 4 for c in coded], np.int64)
+        """Distinct hashes that the table lacks; it has room for them."""
+        new, lengths = self.encode(pieces)
         used, n = int(self.starts[self.count]), len(pieces)
         if self.count + n + 1 > len(self.starts):
             self.starts = np.concatenate((self.starts, np.zeros(self.count + n + 1, np.int64)))
-        new = np.frombuffer(b"".join(coded), "<u4")
         if used + len(new) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros(used + len(new), np.uint32)))
         self.flat[used : used + len(new)] = new
         self.starts[self.count + 1 : self.count + n + 1] = used + np.cumsum(lengths)
-        mask, shift, rows, keys = (1 << self.bits) - 1, 64 - self.bits, self.rows, self.keys
-        for row, h in enumerate(hashes.tolist(), self.count):
-            slot = h >> shift
-            while rows[slot] >= 0:
-                slot = (slot + 1) & mask
-            rows[slot], keys[slot] = row, h
+        slot, todo = (hashes >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(n)
+        while len(todo):
+            # Of the pieces that ask for a free place the first gets it, the others go on.
+            at, first = np.unique(slot[todo], return_index=True)
+            taken = todo[first[self.rows[at] < 0]]
+            self.rows[slot[taken]], self.keys[slot[taken]] = self.count + taken, hashes[taken]
+            todo = np.setdiff1d(todo, taken, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
         self.count += n
 
     def ids(self, s: Scan, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words `which` of a scan, one after another; the number of ids of each)."""
-        unique, first, inverse = np.unique(s.hashes[which], return_index=True, return_inverse=True)
-        if self.count + len(unique) > self.most:
-            self._clear()
-        row = self._find(unique)
-        new = np.flatnonzero(row < 0)
-        if len(new):
-            at = which[first[new]]
-            self._add(unique[new], [s.data[a:b].tobytes() for a, b in zip(s.starts[at].tolist(), s.ends[at].tolist(), strict=True)])
-            row = self._find(unique)
-        row = row[inverse]
+        hashes = s.hashes[which]
+        # A slice holds no more words than the table, however long its document is.
+        parts = [self._slice(s, which[at : at + self.most], hashes[at : at + self.most]) for at in range(0, len(which), self.most)]
+        if len(parts) == 1:
+            return parts[0]
+        return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (self.flat[:0], np.zeros(0, np.int64))
+
+    def _slice(self, s: Scan, which: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = self._find(hashes)
+        absent = np.flatnonzero(row < 0)
+        if len(absent):
+            new, first = np.unique(hashes[absent], return_index=True)
+            if self.count + len(new) > self.most:
+                self._clear()
+                absent = np.arange(len(hashes))
+                new, first = np.unique(hashes, return_index=True)
+            at = which[absent[first]]
+            self._add(new, [s.data[a:b].tobytes() for a, b in zip(s.starts[at].tolist(), s.ends[at].tolist(), strict=True)])
+            row[absent] = self._find(hashes[absent])
         lengths = self.starts[row + 1] - self.starts[row]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
