@@ -5,14 +5,16 @@
    0..Q+1. Registers of a union are maxima of registers, so sketches merge.
 2. Documents with equal sets form one class, grouped by signature with partial aggregation: a group of any number of
    copies costs one row a task. Later steps see one row per class.
-3. Bands of registers make candidate classes. The classes of a band value are compared against its smallest class
-   only (a star), then in a few rounds against another pivot where several components are left. What still has more
-   than one component is finished by comparing its classes across components, block by block. No pair within a
-   component is made then, and no candidate is dropped.
+3. Bands of registers make candidate classes. The classes of a band value are compared first against its most central
+   class alone, the one whose band values have the most classes together (a star): a family's source keeps the
+   registers that most of its copies have, so one star gathers the copies that are near it.
 4. A candidate's Jaccard similarity is estimated jointly from both sketches and both set sizes by maximum likelihood;
-   pairs whose estimate is far below the threshold, or whose sizes rule the threshold out, go.
-5. The rest are verified on full sets, which are computed again for those classes alone (a Bloom filter of bounded
-   size picks them out of the scan).
+   pairs whose estimate is far below the threshold, or whose sizes rule the threshold out, go. The rest are verified
+   on full sets, which are computed again for those classes alone (a Bloom filter of bounded size picks them out).
+5. Band values that still have several components are compared block by block. From registers, each block pair names
+   its classes that have a likely partner in another component; then their full sets are brought together once a
+   block, all cross-component pairs of a block pair are verified there by one matrix product, and only links that join
+   two components leave it. So rows follow the classes, not their pairs, and no candidate is dropped.
 6. Components: alternating large-star and small-star over staged tables until nothing changes.
 
 Defined cases: null text is empty; documents without words have an empty set, no class mates, and are their own
@@ -34,9 +36,10 @@ from .words import mix64, scan, shingles
 M, BASE, RATE, Q = 100, 1.001, 20.0, (1 << 16) - 2
 #: Registers a band from a threshold on: bands miss about 8 in a million pairs at 0.85 by fives, 2 at 0.80 by fours.
 ROWS = ((0.85, 5), (0.75, 4), (0.6, 2), (0.0, 1))
-BLOCK = 256
-#: Rounds in which band values with several components get another pivot, before all their classes are compared.
-PIVOTS = 3
+#: Classes and shingles of a block, about.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
+#: Shingles that a matrix product takes at a time.
+COLUMNS = 4096
 _MULTIPLIERS = np.random.default_rng(9).integers(0, 1 << 63, size=M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -94,29 +97,35 @@ def estimate(above: np.ndarray, below: np.ndarray, equal: np.ndarray, n_a: np.nd
     return (low + high) / 2
 
 
-def signature(s: np.ndarray) -> bytes:
-    """128 bits that depend on the set alone: two independent sums of mixed hashes."""
-    a = mix64(s ^ np.uint64(0x243F6A8885A308D3)).sum(dtype=np.uint64)
-    b = mix64(s ^ np.uint64(0x13198A2E03707344)).sum(dtype=np.uint64)
-    return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
+def signatures(sets: list[np.ndarray]) -> list[bytes]:
+    """128 bits of each non-empty set that depend on the set alone: two independent sums of mixed hashes."""
+    if not sets:
+        return []
+    flat, begins = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+    out = [np.add.reduceat(mix64(flat ^ np.uint64(salt)), begins) for salt in (0x243F6A8885A308D3, 0x13198A2E03707344)]
+    data = np.stack(out, 1).astype(">u8").tobytes()
+    return [data[k : k + 16] for k in range(0, len(data), 16)]
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, n, node, registers) of docs (doc_id, mark, text)."""
+
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, signs, registers = [], [], []
         for s in scan(column(batch, "text")):
             sets = list(shingles(s))
             full = [x for x in sets if len(x)]
-            rows = iter(sketch(full))
+            rows = zip(signatures(full), sketch(full).astype("<u2"), strict=True)
             for x in sets:
+                sign, row = next(rows) if len(x) else (None, None)
                 sizes.append(len(x))
-                signs.append(signature(x) if len(x) else None)
-                registers.append(next(rows).astype("<u2").tobytes() if len(x) else None)
+                signs.append(sign)
+                registers.append(None if row is None else row.tobytes())
         return pa.RecordBatch.from_arrays(
-            [column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array(registers, pa.binary())], names=["doc_id", "n", "node", "registers"]
+            [column(batch, "doc_id"), column(batch, "mark"), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array(registers, pa.binary())], names=["doc_id", "mark", "n", "node", "registers"]
         )
 
-    return map_batches(docs, kernel, "doc_id long, n long, node binary, registers binary")
+    return map_batches(docs, kernel, "doc_id long, mark long, n long, node binary, registers binary")
 
 
 def _bit_positions(nodes: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -147,25 +156,25 @@ def _bloom(wanted: DataFrame) -> np.ndarray:
 
 
 def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, members): the full sets of the wanted classes, once each."""
+    """(node, members): the full sets of the wanted classes (staged), once each."""
     shared = spark.sparkContext.broadcast(_bloom(wanted))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bloom, nodes, members = shared.value, [], []
+        bloom, kept = shared.value, {}
         bits = len(bloom) << 6
         for s in scan(column(batch, "text")):
-            for x in shingles(s):
-                if len(x):
-                    sign = signature(x)
-                    at = _bit_positions(_nodes([sign]), bits)
-                    if all(bloom[int(p[0]) >> 6] >> np.uint64(int(p[0]) & 63) & np.uint64(1) for p in at):
-                        nodes.append(sign)
-                        members.append(x.tobytes())
-        # Copies within a batch go here, the others in the aggregation.
-        kept = dict(zip(nodes, members, strict=True))
+            sets = [x for x in shingles(s) if len(x)]
+            if sets:
+                signs = signatures(sets)
+                there = np.ones(len(sets), bool)
+                for at in _bit_positions(_nodes(signs), bits):
+                    there &= (bloom[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+                # Copies within a batch go here, the others in the aggregation.
+                kept.update((signs[k], sets[k].tobytes()) for k in np.flatnonzero(there).tolist())
         return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.binary()), pa.array(list(kept.values()), pa.binary())], names=["node", "members"])
 
-    return map_batches(docs, kernel, "node binary, members binary").groupBy("node").agg(F.first("members").alias("members"))
+    found = map_batches(docs, kernel, "node binary, members binary").groupBy("node").agg(F.first("members").alias("members"))
+    return stage(spark, found.join(wanted, "node", "left_semi"), "sets")
 
 
 def _estimated(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -184,7 +193,7 @@ def _estimated(pairs: DataFrame, threshold: float) -> DataFrame:
 def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * |intersection| >= percent * |union| on full sets."""
     wanted = stage(spark, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    sets = stage(spark, _sets(spark, docs, wanted).join(wanted, "node", "left_semi"), "sets")
+    sets = _sets(spark, docs, wanted)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -228,46 +237,114 @@ def _with_component(spark: SparkSession, nodes: DataFrame, found: DataFrame) ->
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _cross(bands: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of classes that share a band value but no component: blocks of at most about BLOCK classes against
-    blocks, estimated in the kernel, so that only likely pairs leave it."""
-    sized = bands.groupBy("band").agg(F.count("*").alias("size"), F.count_distinct("component").alias("parts"))
-    open_ = sized.where((F.col("size") > 2) & (F.col("parts") > 1)).select("band", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    dealt = bands.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    row = F.struct("node", "component", "n", "registers")
-    blocks = dealt.groupBy("band", "place", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(row).alias("rows"))
+def _blocks(members: DataFrame, fields: list[str]) -> DataFrame:
+    """(place, same, left, right): the classes of each band value, dealt into blocks, block against block. `members` has
+    band, place, node, n and the fields; left and right are arrays of structs of node, n and the fields."""
+    size = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    dealt = members.join(members.groupBy("band").agg(F.ceil(size).cast("int").alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # Dealt anew, or the blocks of a band value would be gathered where its rows met their number of blocks: in one task.
+    dealt = dealt.repartition("band", "place", "block")
+    blocks = dealt.groupBy("band", "place", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("node", "n", *fields)).alias("rows"))
     left = blocks.select("band", "place", "block", F.col("rows").alias("left"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
     joined = left.join(blocks.select("band", F.col("block").alias("other"), F.col("rows").alias("right")), ["band", "other"])
-    joined = joined.select("place", (F.col("block") == F.col("other")).alias("same"), "left", "right")
+    return joined.select("band", "place", (F.col("block") == F.col("other")).alias("same"), "left", "right")
+
+
+def _numbered(*sides: list[dict]) -> list[np.ndarray]:
+    number = {c: i for i, c in enumerate({x["component"] for side in sides for x in side})}
+    return [np.array([number[x["component"]] for x in side]) for side in sides]
+
+
+def _likely(members: DataFrame, threshold: float) -> DataFrame:
+    """(band, place, node): classes that have a likely partner in another component; each pair is looked at where it
+    first shares a band value. `members`: band, place, node, n, component, registers."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = [], []
-        for place, same, left, right in zip(*(column(batch, c).to_pylist() for c in ("place", "same", "left", "right")), strict=True):
+        bands, places, nodes = [], [], []
+        for band, place, same, left, right in zip(*(column(batch, c).to_pylist() for c in ("band", "place", "same", "left", "right")), strict=True):
             ra, rb = (np.frombuffer(b"".join(x["registers"] for x in side), "<u2").reshape(-1, M) for side in (left, right))
             na, nb = (np.array([x["n"] for x in side], float) for side in (left, right))
-            number = {c: i for i, c in enumerate({x["component"] for x in left} | {x["component"] for x in right})}
-            ca, cb = (np.array([number[x["component"]] for x in side]) for side in (left, right))
+            ca, cb = _numbered(left, right)
+            found: set[bytes] = set()
             for at in range(0, len(left), 64):
                 rows = slice(at, at + 64)
                 open_pair = (ca[rows, None] != cb[None]) & (np.minimum(na[rows, None], nb[None]) >= threshold * np.maximum(na[rows, None], nb[None]))
                 if same:
                     open_pair &= np.arange(at, at + len(na[rows]))[:, None] < np.arange(len(nb))[None]
-                if not open_pair.any():
+                i, j = np.nonzero(open_pair)
+                if not len(i):
                     continue
-                equal = ra[rows, None, :] == rb[None]
-                # A pair is taken where it first shares a band value, and nowhere else.
-                first = equal.reshape(*equal.shape[:2], -1, rows_of(threshold)).all(3).argmax(2) == place
-                i, j = np.nonzero(open_pair & first & (equal.sum(2) >= M * (threshold - margin(threshold)) * 0.8))
+                i += at
+                equal = ra[i] == rb[j]
+                first = equal[:, : M // rows_of(threshold) * rows_of(threshold)].reshape(len(i), -1, rows_of(threshold)).all(2).argmax(1) == place
+                pick = first & (equal.sum(1) >= M * (threshold - margin(threshold)) * 0.8)
+                i, j = i[pick], j[pick]
                 if len(i):
-                    x, y = ra[rows][i], rb[j]
-                    above, below = (x > y).sum(1), (x < y).sum(1)
-                    likely = estimate(above, below, M - above - below, na[rows][i], nb[j]) >= threshold - margin(threshold)
-                    for k, m in zip((i[likely] + at).tolist(), j[likely].tolist(), strict=True):
-                        a.append(min(left[k]["node"], right[m]["node"]))
-                        b.append(max(left[k]["node"], right[m]["node"]))
+                    above, below = (ra[i] > rb[j]).sum(1), (ra[i] < rb[j]).sum(1)
+                    likely = estimate(above, below, M - above - below, na[i], nb[j]) >= threshold - margin(threshold)
+                    found.update(left[k]["node"] for k in np.unique(i[likely]).tolist())
+                    found.update(right[k]["node"] for k in np.unique(j[likely]).tolist())
+            bands += [band] * len(found)
+            places += [place] * len(found)
+            nodes += found
+        return pa.RecordBatch.from_arrays([pa.array(bands, pa.int64()), pa.array(places, pa.int32()), pa.array(nodes, pa.binary())], names=["band", "place", "node"])
+
+    blocks = _blocks(members, ["component", "registers"])
+    return map_batches(blocks, kernel, "band long, place int, node binary").distinct()
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of sorted sets, as a matrix: products over the members that both sides have."""
+    flat_a, flat_b = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(flat_a, flat_b)
+    cells = []
+    for side, flat in ((left, flat_a), (right, flat_b)):
+        row = np.repeat(np.arange(len(side)), [len(x) for x in side])
+        at = np.searchsorted(common, flat)
+        hit = common[np.minimum(at, len(common) - 1)] == flat if len(common) else np.zeros(len(flat), bool)
+        order = np.argsort(at[hit], kind="stable")
+        cells.append((at[hit][order], row[hit][order]))
+    out = np.zeros((len(left), len(right)), np.float64)
+    for low in range(0, len(common), COLUMNS):
+        wide = min(COLUMNS, len(common) - low)
+        tables = []
+        for side, (at, row) in zip((left, right), cells, strict=True):
+            a, b = np.searchsorted(at, (low, low + wide))
+            table = np.zeros((len(side), wide), np.float32)
+            table[row[a:b], at[a:b] - low] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out.astype(np.int64)
+
+
+def _joining(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components: of each block pair a forest that joins what its links join. `members`: band, place, node,
+    n, component, members."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = [], []
+        for left, right in zip(*(column(batch, c).to_pylist() for c in ("left", "right")), strict=True):
+            both = intersections(*([np.frombuffer(x["members"], np.uint64) for x in side] for side in (left, right)))
+            na, nb = (np.array([x["n"] for x in side]) for side in (left, right))
+            ca, cb = _numbered(left, right)
+            linked = (100 * both >= percent * (na[:, None] + nb[None] - both)) & (ca[:, None] != cb[None])
+            parent = list(range(int(max(ca.max(), cb.max())) + 1))
+
+            def find(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]  # noqa: B023
+                    x = parent[x]  # noqa: B023
+                return x
+
+            for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+                x, y = find(int(ca[i])), find(int(cb[j]))
+                if x != y:
+                    parent[x] = y
+                    a.append(left[i]["node"])
+                    b.append(right[j]["node"])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return map_batches(joined, kernel, "a binary, b binary").distinct()
+    return map_batches(_blocks(members, ["component", "members"]).select("left", "right"), kernel, "a binary, b binary")
 
 
 def _starred(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -279,70 +356,62 @@ def _starred(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFram
     return _estimated(joined, threshold)
 
 
-def _pivots(members: DataFrame, used: DataFrame) -> DataFrame:
-    """(band, node, n, component): for each band value with more than two classes in more than one component, a class
-    that was no pivot yet, of its largest component there. A family's source links to all of its copies, while copies
-    often link to the source alone: once a pivot has found the source, the source is the next pivot and gathers them."""
-    parts = members.groupBy("band", "component").agg(F.count("*").alias("share"))
-    open_ = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("share").alias("size")).where("parts > 1 AND size > 2").select("band")
-    fresh = members.join(open_, "band", "left_semi").join(used, ["band", "node"], "left_anti").join(parts, ["band", "component"])
-    best = fresh.groupBy("band").agg(F.min_by(F.struct("node", "n", "component"), F.struct(-F.col("share"), F.xxhash64("node"), "node")).alias("p"))
-    return best.select("band", "p.node", "p.n", "p.component")
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept. Links: 100 * |A and B| >= percent * |A or B|."""
+def _classed(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, mark, n, node, component) of each row of docs; node and component are null without words. `mark` is a hash
+    of the text."""
     threshold = percent / 100
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    sketched = stage(spark, _sketched(source), "sketched")
-    classes = stage(spark, sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
+    sketched = stage(spark, _sketched(source.withColumn("mark", F.xxhash64("text"))), "sketched")
+    classes = stage(spark, sketched.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("registers").alias("registers")), "classes")
     rows = rows_of(threshold)
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("registers", 2 * rows * k + 1, 2 * rows)) for k in range(M // rows)))
     bands = classes.select("node", "n", F.posexplode(keys).alias("place", "band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1")
+    shared = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     # Band values that only one class has make no candidates: they go before anything is written.
-    bands = stage(spark, bands.join(shared, "band").select("band", "place", "node", "n", "lead"), "bands")
+    bands = stage(spark, bands.join(shared, "band").select("band", "place", "node", "n", "size"), "bands")
 
-    leaders = bands.where(F.col("node") == F.col("lead")).select("band", F.col("node").alias("a"), F.col("n").alias("n_a"))
+    central = bands.join(bands.groupBy("node").agg(F.sum("size").alias("mates")), "node")
+    leaders = central.groupBy("band").agg(F.max(F.struct("mates", "node", "n")).alias("lead")).select("band", F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a"))
     stars = bands.join(leaders, "band").where(F.col("node") != F.col("a")).select("a", "n_a", F.col("node").alias("b"), F.col("n").alias("n_b"))
-    links = _verified(spark, source, stage(spark, _starred(stars, classes, threshold), "stars"), percent)
+    stars = stage(spark, _starred(stars, classes, threshold), "stars")
+    links = _verified(spark, source, stars, percent)
     named = stage(spark, _with_component(spark, classes, components(spark, links)), "named")
-    used = leaders.select("band", F.col("a").alias("node"))
-    for _ in range(PIVOTS):
-        members = stage(spark, bands.select("band", "node").join(named.select("node", "component", "n"), "node"), "members")
-        pivots = stage(spark, _pivots(members, used), "pivots")
-        chosen = pivots.select("band", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of"))
-        rays = members.join(chosen, "band").where(F.col("component") != F.col("of"))
-        rays = rays.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), *(F.when((F.col("a") < F.col("node")) == first, F.col("n_a")).otherwise(F.col("n")).alias(name) for name, first in (("n_a", True), ("n_b", False))))
-        rays = stage(spark, _starred(rays, classes, threshold), "rays")
-        used = used.union(pivots.select("band", "node"))
-        discard(spark, members)
-        if rays.isEmpty():
-            break
-        found = _verified(spark, source, rays, percent)
-        if not found.isEmpty():
-            links = links.union(found)
-            named = stage(spark, _with_component(spark, classes, components(spark, links)), "named")
-
-    members = bands.select("band", "place", "node").join(named.select("node", "component", "n", "registers"), "node")
-    crossing = stage(spark, _cross(members, threshold), "crossing")
-    if not crossing.isEmpty():
-        links = links.union(_verified(spark, source, crossing, percent))
-        named = stage(spark, _with_component(spark, classes, components(spark, links)), "named")
-    discard(spark, bands, crossing)
-
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = named.select("node", "component").join(smallest, "component").select("node", "component_id")
-    out = sketched.select("doc_id", "n", "node").join(by_node, "node", "left")
+
+    members = bands.where("size > 2").select("band", "place", "node").join(named.select("node", "component", "n", "registers"), "node")
+    open_ = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    likely = stage(spark, _likely(members.join(open_, "band"), threshold), "likely")
+    if not likely.isEmpty():
+        wanted = stage(spark, likely.select("node").distinct(), "wanted")
+        sets = _sets(spark, source, wanted)
+        joining = stage(spark, _joining(likely.join(named.select("node", "component", "n"), "node").join(sets, "node"), percent), "joining")
+        before, named = named, stage(spark, _with_component(spark, classes, components(spark, links.union(joining))), "named")
+        discard(spark, wanted, sets, joining, before)
+    discard(spark, bands, stars, links, likely, classes)
+    return sketched.select("doc_id", "mark", "n", "node").join(named.select("node", "component"), "node", "left")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. Links: 100 * |A and B| >= percent * |A or B|."""
+    classed = stage(spark, _classed(spark, docs, percent), "classed")
+    smallest = classed.where("node is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = classed.join(smallest, "component", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of docs that stay: of each component the row with the smallest id. Where that id is repeated, one row
-    of each different text of it stays. Rows with a null id stay."""
-    found = near_duplicates(spark, docs, percent)
-    kept = stage(spark, found.where("kept").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
-    named = docs.join(kept.where("copies = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(kept.where("copies > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.union(again).union(docs.where("doc_id is null")).select(docs.columns)
+    """The rows of docs that stay: one of each component, the one with the smallest id (a row without an id only where
+    no row has one; of rows that share the id, the one whose text has the smallest hash), and every row without words."""
+    classed = _classed(spark, docs, percent)
+    row = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "mark")
+    counted = classed.groupBy("component", "node", "doc_id", "mark").agg(F.count("*").alias("copies"))
+    chosen = counted.where("node is not null").groupBy("component").agg(F.min(F.struct(row.alias("row"), "copies")).alias("best"))
+    wordless = counted.where("node is null").select("doc_id", "mark", F.lit(1).alias("copies"))
+    kept = stage(spark, chosen.select("best.row.doc_id", "best.row.mark", "best.copies").union(wordless).distinct(), "kept")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("mark"), *(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    # Rows are told apart by id and text; where both repeat, one of the equal rows stays.
+    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["mark"] == kept["mark"])
+    alone = rows.join(kept.where("copies = 1"), same, "left_semi")
+    again = rows.join(kept.where("copies > 1"), same, "left_semi").dropDuplicates(["doc_id", "mark"])
+    return alone.union(again).select(names).toDF(*docs.columns)
