@@ -7,7 +7,8 @@ the linear weights, which leaves chance terms at zero, on a sample of at most `m
 the smallest hashes of their ids); scoring reads every word of every document where it lies.
 
 Defined cases: null text is empty and scores the bias; a null id counts as the empty text in the fold and never joins
-a label; an id with several labels is toxic if one of them says so; repeated rows are scored each; without labelled rows every score is 0.
+a label; an id with several labels is toxic if one of them says so; of rows that repeat an id one is learned from,
+and each is scored; without labelled rows every score is 0.
 Other columns are ignored.
 """
 
@@ -73,49 +74,108 @@ def association(toxic: np.ndarray, seen: np.ndarray, positives: float, total: in
     return 2 * out
 
 
-def interacting(docs: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, toxic: np.ndarray, least: float, block: int = 1024) -> np.ndarray:
+def _least_count(n: np.ndarray, t: np.ndarray, bound: float, toxic: bool) -> np.ndarray:
+    """For places in n documents, t of them toxic: how many of these a partner must be in, all of them toxic (or none), for its
+    statistic to reach the bound; more than there are where it cannot."""
+    top = (t if toxic else n - t).astype(float)
+    low, high = np.zeros(len(n)), top + 1
+    while (gap := high - low > 1).any():
+        k = np.where(gap, np.floor((low + high) / 2), high)
+        enough = (k > top) | (association(k if toxic else 0 * k, np.minimum(k, top), t, n) >= bound)
+        low, high = np.where(enough | ~gap, low, k), np.where(enough & gap, k, high)
+    return high
+
+
+class _Postings:
+    """Which documents hold which places: dense columns for products, bit rows for single pairs."""
+
+    def __init__(self, docs: list[np.ndarray], places: np.ndarray):
+        index = np.full(1 << BITS, -1, np.int32)
+        index[places] = np.arange(len(places))
+        rows = [(r := index[d])[r >= 0].astype(np.int64) * len(docs) + k for k, d in enumerate(docs)]
+        cells = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        rows.clear()
+        cells.sort()
+        self.documents, self.owner = len(docs), (cells % max(1, len(docs))).astype(np.int32)
+        self.begins = np.searchsorted(cells, np.arange(len(places) + 1) * len(docs))
+
+    def _cells(self, first: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        begins = self.begins[first : to + 1]
+        return self.owner[begins[0] : begins[-1]], np.repeat(np.arange(to - first), np.diff(begins))
+
+    def dense(self, first: int, to: int, which: np.ndarray) -> np.ndarray:
+        """(documents of `which`, columns first .. to-1), 1 where the document holds the place."""
+        row = np.full(self.documents, -1, np.int32)
+        row[which] = np.arange(len(which))
+        owner, column = self._cells(first, to)
+        at = row[owner]
+        out = np.zeros((len(which), to - first), np.float32)
+        out[at[at >= 0], column[at >= 0]] = 1
+        return out
+
+    def bits(self, first: int, to: int) -> np.ndarray:
+        """Documents of columns first .. to-1 as rows of bits."""
+        owner, column = self._cells(first, to)
+        flags = np.zeros((to - first, self.documents), bool)
+        flags[column, owner] = True
+        return np.packbits(flags, axis=1)
+
+
+def interacting(docs: list[np.ndarray], labels: np.ndarray, seen: np.ndarray, toxic: np.ndarray, least: float, block: int = 512) -> np.ndarray:
     """Places of pairs that weigh together what they do not weigh alone: among the documents of either place, the other
     one is associated with the label. The bound grows with the number of pairs, so that about one pair passes by
-    chance. Places that no partner can lift to the bound are left out before any pair is counted; every other pair
-    is, in blocks of columns, so memory does not grow with the vocabulary."""
-    rate = np.clip(toxic / np.maximum(seen, 1), 1e-12, 1 - 1e-12)
-    most = -2 * seen * (rate * np.log(rate) + (1 - rate) * np.log1p(-rate))  # of a partner that tells all labels
-    places = np.flatnonzero((seen >= 3) & (toxic > 0) & (most >= least))
-    bound = max(least, 2 * np.log(max(1, len(places) * (len(places) - 1) / 2)))
-    places = places[most[places] >= bound]
-    index = np.full(1 << BITS, -1, np.int32)
-    index[places] = np.arange(len(places))
-    column_of = [(r := index[d])[r >= 0] for d in docs]
-    owner = np.repeat(np.arange(len(docs)), [len(c) for c in column_of])
-    flat = np.concatenate(column_of) if column_of else np.zeros(0, np.int32)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    begins = np.searchsorted(flat, np.arange(0, len(places) + block, block))
-    is_toxic = labels > 0
-
-    def dense(k: int) -> np.ndarray:
-        at = slice(begins[k], begins[k + 1])
-        out = np.zeros((len(docs), min(block, len(places) - k * block)), np.float32)
-        out[owner[at], flat[at] - k * block] = 1
-        return out
+    chance.
 
-    n, t, found = seen[places].astype(float), toxic[places].astype(float), np.zeros(len(places), bool)
-    for i in range(len(begins) - 1):
-        left = dense(i)
-        for j in range(i, len(begins) - 1):
-            right = left if i == j else dense(j)
-            both = left.T @ right
-            a, b = np.nonzero(np.triu(both, 1) >= 3 if i == j else both >= 3)
-            both_toxic = (left[is_toxic].T @ right[is_toxic])[a, b].astype(float)
-            both, a, b = both[a, b].astype(float), a + i * block, b + j * block
-            for _ in range(2):
-                # G squared is at most twice Pearson's statistic, which needs no logarithms.
-                likely = 2 * n[a] * (both_toxic * n[a] - both * t[a]) ** 2.0 >= (bound - 1e-6) * both * (n[a] - both) * t[a] * (n[a] - t[a])
-                a, b, both, both_toxic = a[likely], b[likely], both[likely], both_toxic[likely]
-                strong = association(both_toxic, both, t[a], n[a]) >= bound
-                a, b, both, both_toxic = b[strong], a[strong], both[strong], both_toxic[strong]
-            found[a] = found[b] = True
-    return places[found]
+    No pair is left out that can reach the bound, but few have to be looked at. A partner that raises the rate needs a
+    least number of toxic documents in common; such pairs are found by products over the toxic documents alone. A
+    pair that raises neither place's rate needs a least number of other documents in common for both; in order of those numbers
+    most blocks of columns cannot have such pairs. Products go by blocks, so memory does not grow with the vocabulary."""
+    places = np.flatnonzero((seen >= 3) & (toxic > 0))
+    rate = np.clip(toxic[places] / seen[places], 1e-12, 1 - 1e-12)
+    most = -2 * seen[places] * (rate * np.log(rate) + (1 - rate) * np.log1p(-rate))  # of a partner that tells all labels
+    count = int((most >= least).sum())
+    bound = max(least, 2 * np.log(max(1, count * (count - 1) / 2)))
+    places = places[most >= bound]
+    n, t = seen[places].astype(float), toxic[places].astype(float)
+    lower, size = _least_count(n, t, bound, False), np.floor(4 * np.log2(np.maximum(n - t, 1)))
+    order = np.lexsort((lower, size))
+    places, n, t, lower, size = (x[order] for x in (places, n, t, lower, size))
+    held, found = _Postings(docs, places), np.zeros(len(places), bool)
+    ends = [*np.flatnonzero(np.diff(size)) + 1, len(places)]
+    edges = [(i, min(i + block, k)) for first, k in zip([0, *ends], ends) for i in range(first, k, block)]
+    everyone = np.arange(len(docs))
+    for raising, shared in ((True, everyone[labels > 0]), (False, everyone[labels <= 0])):
+        need, have = (_least_count(n, t, bound, True), t) if raising else (lower, n - t)
+        reach = [(need[i:k].min(), have[i:k].max()) for i, k in edges]
+        for x, (i, k) in enumerate(edges):
+            left, rows = None, None
+            for y, (j, m) in enumerate(edges[x:], x):
+                if raising and min(reach[x][0], reach[y][0]) > min(reach[x][1], reach[y][1]) or not raising and max(reach[x][0], reach[y][0]) > min(reach[x][1], reach[y][1]):
+                    continue
+                left = held.dense(i, k, shared) if left is None else left
+                count = left.T @ (left if x == y else held.dense(j, m, shared))
+                enough = (count >= need[i:k, None], count >= need[None, j:m])
+                pair = enough[0] | enough[1] if raising else enough[0] & enough[1]
+                a, b = np.nonzero(np.triu(pair, 1) if x == y else pair)
+                if raising:
+                    # If b raises a's rate and a does not raise b's, a lowers it: b's rate is the higher one.
+                    one, other = enough[0][a, b], enough[1][a, b]
+                    mixed = lambda p, q: (t[q] * n[p] > t[p] * n[q]) & (n[p] - t[p] >= lower[q])
+                    can = one & other | one & mixed(a + i, b + j) | other & mixed(b + j, a + i)
+                    a, b = a[can], b[can]
+                if not len(a):
+                    continue
+                rows = held.bits(i, k) if rows is None else rows
+                columns = rows if x == y else held.bits(j, m)
+                both = np.concatenate([np.bitwise_count(rows[a[c : c + 4096]] & columns[b[c : c + 4096]]).sum(1, dtype=np.int64) for c in range(0, len(a), 4096)]).astype(float)
+                common = count[a, b].astype(float)
+                both_toxic = common if raising else both - common
+                a, b = a + i, b + j
+                keep = both >= 3
+                for z in (a, b):
+                    keep[keep] = association(both_toxic[keep], both[keep], t[z[keep]], n[z[keep]]) >= bound
+                found[a[keep]] = found[b[keep]] = True
+    return np.sort(places[found])
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 20, rate: float = 0.1, l1: float = 1e-4, l2: float = 1e-3, least: float = 12.0, seed: int = 7) -> Machine:
@@ -126,7 +186,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs:
         return Machine(-50.0, np.zeros(0, np.int64), np.zeros(1), np.zeros((1, factors)))
     seen = np.bincount(np.concatenate(docs), minlength=1 << BITS) if docs else np.zeros(1 << BITS, int)
     toxic = np.bincount(np.concatenate([d for d, y in zip(docs, labels, strict=True) if y] or [np.zeros(0, np.int64)]), minlength=1 << BITS)
-    alone = np.flatnonzero((seen >= 3) & (association(toxic, seen, labels.sum(), len(labels)) >= least))
+    often = np.flatnonzero(seen >= 3)
+    alone = often[association(toxic[often], seen[often], labels.sum(), len(labels)) >= least]
     places = np.union1d(alone, interacting(docs, labels, seen, toxic, least))
     index = np.full(1 << BITS, -1, np.int32)
     index[places] = np.arange(len(places))
@@ -187,7 +248,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 8_0
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     known = marks.join(docs.select(docs["doc_id"].cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     marks = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = texts.join(F.broadcast(marks), "doc_id")
+    # An id that repeats gives the sample the one of its texts with the smallest hash.
+    sample = texts.join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.struct(F.xxhash64("text"), "text")).alias("row")).select("doc_id", "row.text", "row.toxic")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
@@ -197,28 +259,38 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 8_0
         return pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "toxic"), pa.array(found, pa.binary())], names=["doc_id", "toxic", "places"])
 
     rows = map_batches(sample, kernel, "doc_id long, toxic int, places binary").toPandas().sort_values(["doc_id", "places"])
-    return train([np.frombuffer(p, "<u4").astype(np.int64) for p in rows["places"]], rows["toxic"].to_numpy(float))
+    return train([np.frombuffer(p, "<u4").astype(np.int32) for p in rows["places"]], rows["toxic"].to_numpy(float))
+
+
+def toxicities(machine: Machine, texts: pa.Array) -> np.ndarray:
+    """The score of each text, 0 to 1."""
+    out = np.full(len(texts), 0.0)
+    for s in scan(texts, NON_WORD):
+        places, splits = term_places(s)
+        rows = machine.row[places]
+        live = rows >= 0
+        kept = np.concatenate(([0], np.cumsum(live)))[splits]
+        out[s.first : s.first + len(splits) - 1] = machine.margins(rows[live], kept)
+    return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
 def score(spark: SparkSession, docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs (doc_id, text and any others) plus toxicity: a pass without a shuffle."""
+    """The columns of docs but for the text, plus toxicity: a pass without a shuffle."""
     shared = spark.sparkContext.broadcast(machine)
     source = docs.drop("toxicity")
-    at = source.columns.index("text")
-    schema = StructType([*source.schema.fields, StructField("toxicity", DoubleType())])
+    rest = [f for f in source.schema.fields if f.name != "text"]
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m, out = shared.value, np.full(batch.num_rows, 0.0)
-        for s in scan(batch.column(at), NON_WORD):
-            places, splits = term_places(s)
-            rows = m.row[places]
-            live = rows >= 0
-            kept = np.concatenate(([0], np.cumsum(live)))[splits]
-            out[s.first : s.first + len(splits) - 1] = m.margins(rows[live], kept)
-        p = 1 / (1 + np.exp(-np.clip(out, -60, 60)))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "toxicity"])
-
-    return map_batches(source, kernel, schema)
+        p = toxicities(shared.value, column(batch, "text"))
+        return pa.RecordBatch.from_arrays([*(column(batch, f.name) for f in rest), pa.array(p)], names=[*(f.name for f in rest), "toxicity"])
+
+    return map_batches(source, kernel, StructType([*rest, StructField("toxicity", DoubleType())]))
+
+
+def below(spark: SparkSession, docs: DataFrame, machine: Machine, limit: float = 0.5) -> DataFrame:
+    """The rows of docs whose toxicity is below the limit: they are chosen where they are scored."""
+    shared = spark.sparkContext.broadcast(machine)
+    return map_batches(docs, lambda batch: batch.filter(pa.array(toxicities(shared.value, column(batch, "text")) < limit)), docs.schema)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 8_000) -> DataFrame:

@@ -29,42 +29,40 @@ from .words import scan
 MARKS = b"!#$%&*|?.,;:-_=<>/\\@~^"
 
 
-def measures(texts: pa.Array) -> np.ndarray:
-    """(documents, measures): shares and logarithms that describe the shape of each text."""
-    out = []
-    table = np.zeros((256, 6), np.float32)
+def _byte_classes() -> np.ndarray:
+    """(256, 12): membership of each byte in the classes whose shares are measured."""
+    table = np.zeros((256, 12))
     table[65:91, 0] = 1
     table[97:123, 1] = 1
     table[48:58, 2] = 1
     table[[9, 10, 11, 12, 13, 32], 3] = 1
     table[10, 4] = 1
     table[128:, 5] = 1
-    groups = [b"!", b"#", b"$%&*", b"|", b".,;:", MARKS]
+    for k, group in enumerate((b"!", b"#", b"$%&*", b"|", b".,;:", MARKS), 6):
+        table[list(group), k] = 1
+    return table
+
+
+def measures(texts: pa.Array) -> np.ndarray:
+    """(documents, measures): shares and logarithms that describe the shape of each text."""
+    out, classes = [], _byte_classes()
+    marks = np.zeros(256, bool)
+    marks[[b for b in MARKS if b not in b".,"]] = True
     for s in scan(texts):
         docs, n = s.documents(), len(s.splits) - 1
-        size = np.diff(s.offsets).astype(float)
-        share = lambda flags: _per(s.offsets, flags) / np.maximum(size, 1)  # noqa: B023, E731
-        cols = [share(table[s.data, k]) for k in range(6)]
-        for g in groups:
-            member = np.zeros(256, np.float32)
-            member[list(g)] = 1
-            cols.append(share(member[s.data]))
-        words = np.diff(s.splits).astype(float)
-        lengths = (s.ends - s.starts).astype(float)
-        h = s.hashes
+        size, words = np.diff(s.offsets).astype(float), np.diff(s.splits).astype(float)
+        cells = np.repeat(np.arange(n) << 8, np.diff(s.offsets)) + s.data
+        shares = np.bincount(cells, minlength=n << 8).reshape(n, 256) @ classes / np.maximum(size, 1)[:, None]
+        lengths, h = (s.ends - s.starts).astype(float), s.hashes
         same = np.zeros(len(h))
-        if len(h) > 1:
-            same[1:] = (h[1:] == h[:-1]) & (docs[1:] == docs[:-1])
-        order = np.lexsort((h, docs))
-        fresh = np.ones(len(h))
-        if len(h) > 1:
-            fresh[1:] = (h[order][1:] != h[order][:-1]) | (docs[order][1:] != docs[order][:-1])
-        last = s.data[s.ends - 1] if len(h) else np.zeros(0, np.uint8)
-        marked = np.isin(last, np.frombuffer(MARKS.replace(b".", b"").replace(b",", b""), np.uint8)).astype(float)
+        same[1:] = (h[1:] == h[:-1]) & (docs[1:] == docs[:-1])
+        # Distinct words of a document: 40 bits of hash tell its words apart, the document's number is above them.
+        key = np.sort((docs.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
+        fresh = np.bincount((key[np.concatenate(([True], key[1:] != key[:-1]))] >> np.uint64(40)).astype(np.int64), minlength=n) if len(h) else np.zeros(n)
+        marked = marks[s.data[s.ends - 1]] if len(h) else np.zeros(0)
         per = lambda v: _per(s.splits, v) / np.maximum(words, 1)  # noqa: B023, E731
-        cols += [np.log1p(words), per(lengths), per(same), per(fresh), per(marked), per((lengths > 25).astype(float)), (words < 5).astype(float)]
-        cols.append(np.log1p(size) - np.log1p(words))
-        out.append(np.stack([c[:n] for c in cols], 1))
+        cols = [np.log1p(words), per(lengths), per(same), fresh / np.maximum(words, 1), per(marked), per(lengths > 25), words < 5, np.log1p(size) - np.log1p(words)]
+        out.append(np.concatenate([shares, np.stack(cols, 1)], 1))
     return np.concatenate(out) if out else np.zeros((0, 20))
 
 
@@ -113,7 +111,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8_000) -> Classifier:
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).where(fold("doc_id", 5) != 0)
     marks = marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
     marks = marks.join(docs.select(docs["doc_id"].cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(marks), "doc_id")
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    # An id that repeats gives the sample the one of its texts with the smallest hash.
+    sample = texts.join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "quality"), F.struct(F.xxhash64("text"), "text")).alias("row")).select("doc_id", "row.text", "row.quality")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = measures(column(batch, "text"))
@@ -125,16 +125,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8_000) -> Classifier:
 
 
 def evidence(spark: SparkSession, docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """docs plus log_odds: a pass without a shuffle."""
+    """The columns of docs but for the text, plus log_odds: a pass without a shuffle."""
     shared = spark.sparkContext.broadcast(classifier)
     source = docs.drop("log_odds")
-    at = source.columns.index("text")
+    rest = [f for f in source.schema.fields if f.name != "text"]
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = shared.value.log_odds(measures(batch.column(at)))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(x)], names=[*batch.schema.names, "log_odds"])
+        x = shared.value.log_odds(measures(column(batch, "text")))
+        return pa.RecordBatch.from_arrays([*(column(batch, f.name) for f in rest), pa.array(x)], names=[*(f.name for f in rest), "log_odds"])
 
-    return map_batches(source, kernel, StructType([*source.schema.fields, StructField("log_odds", DoubleType())]))
+    return map_batches(source, kernel, StructType([*rest, StructField("log_odds", DoubleType())]))
 
 
 def _strength(groups: DataFrame, rate: str, center: str) -> float:
@@ -160,20 +160,48 @@ def posteriors(spark: SparkSession, found: DataFrame) -> DataFrame:
     return paths.select("host", "path", "global_rate", "host_rate", shrunk(F.col("host_rate"), _strength(paths, "rate", "host_rate")).alias("path_rate"))
 
 
+def _site(docs: DataFrame) -> list[F.Column]:
+    return [F.coalesce(docs[c].cast("string"), F.lit("")).alias(name) for c, name in (("source", "host"), ("lang", "path"))]
+
+
+def _odds(rate: str) -> F.Column:
+    return F.log(F.greatest(F.col(rate), F.lit(1e-6)) / F.greatest(1 - F.col(rate), F.lit(1e-6)))
+
+
 def score(spark: SparkSession, docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """docs plus host_rate, path_rate and posterior."""
-    extra = ["log_odds", "host", "path", "host_rate", "path_rate", "global_rate", "posterior"]
-    found = evidence(spark, docs.drop(*extra), classifier)
-    found = found.withColumn("host", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("path", F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    rates = posteriors(spark, evidence(spark, docs.select(text_of(docs).alias("text"), docs["source"], docs["lang"]), classifier).select(
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("path"), "log_odds"))
-    odds = lambda c: F.log(F.greatest(F.col(c), F.lit(1e-6)) / F.greatest(1 - F.col(c), F.lit(1e-6)))
-    joined = found.join(rates, ["host", "path"])
-    return joined.withColumn("posterior", 1 / (1 + F.exp(-(F.col("log_odds") + odds("path_rate") - odds("global_rate"))))).drop("host", "path")
+    """doc_id, log_odds, host_rate, path_rate and posterior of each row of docs. The evidence of a document is a few numbers: it is
+    staged, so that texts are read once, for the rates and for the posteriors."""
+    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), *_site(docs))
+    found = stage(spark, evidence(spark, ids, classifier), "evidence")
+    return _posterior(found.join(posteriors(spark, found), ["host", "path"])).select("doc_id", "log_odds", "host_rate", "path_rate", "posterior")
+
+
+def _posterior(rated: DataFrame) -> DataFrame:
+    return rated.withColumn("posterior", 1 / (1 + F.exp(-(F.col("log_odds") + _odds("path_rate") - _odds("global_rate")))))
+
+
+def at_least(spark: SparkSession, docs: DataFrame, classifier: Classifier, limit: float = 0.5) -> DataFrame:
+    """The rows of docs whose posterior is the limit or more: the site's rates say what evidence a document needs, and the rows are
+    chosen where their evidence is measured. Sites meet the documents in a join on short columns."""
+    rates = posteriors(spark, evidence(spark, docs.select(text_of(docs).alias("text"), *_site(docs)), classifier))
+    bar = F.log(F.lit(limit / (1 - limit))) - _odds("path_rate") + _odds("global_rate")
+    need = stage(spark, rates.select("host", "path", bar.alias("need")), "need")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    host, path = (F.coalesce(plain[names[docs.columns.index(c)]].cast("string"), F.lit("")) for c in ("source", "lang"))
+    joined = plain.join(need, (host == need["host"]) & (path == need["path"])).select(*names, "need")
+    shared, at = spark.sparkContext.broadcast(classifier), docs.columns.index("text")
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = shared.value.log_odds(measures(batch.column(at)))
+        kept = batch.filter(pa.array(x >= column(batch, "need").to_numpy(zero_copy_only=False)))
+        return kept.select(names)
+
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)])
+    return map_batches(joined, kernel, schema).toDF(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 8_000, least: float = 0.5) -> DataFrame:
     """doc_id, evidence, host_rate, path_rate, posterior, keep (posterior >= least)."""
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), "source", "lang")
-    out = score(spark, source, fit(docs, labels, most))
+    out = score(spark, docs, fit(docs, labels, most))
     return out.select("doc_id", (1 / (1 + F.exp(-F.col("log_odds")))).alias("evidence"), "host_rate", "path_rate", "posterior", (F.col("posterior") >= least).alias("keep"))

@@ -130,15 +130,17 @@ def test_quality_shrinks_sparse_sites(spark):
 
 
 def test_token_ids_come_back_in_order(spark):
-    rows = [*EDGES, *((200 - i, t) for i, t in enumerate(some_texts(8, 80)))]
+    from tokenizers import Tokenizer
+
+    rows = [*EDGES, (13, "end <|endoftext|> of"), *((200 - i, t) for i, t in enumerate(some_texts(8, 80)))]
     path = public_tokenizers.path("word_bpe_49k.json")
     blocks = repair.write(spark, docs_of(spark, rows), path, block=500)
     got = repair.digests(repair.read(spark, blocks)).toPandas().sort_values("start")
-    coder = repair.WordCoder(path, 2)
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    library = Tokenizer.from_file(path)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     start = 0
     for (i, t), r in zip(ordered, got.itertuples(), strict=True):
-        ids = next(coder.encode(pa.array([t or ""])))
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids) // 4, zlib.crc32(ids)) and (pd.isna(r.doc_id) if i is None else r.doc_id == i)
         start += len(ids) // 4
     assert blocks.count() > 3
@@ -162,11 +164,49 @@ def test_decontamination_against_plain_scores(spark):
     rows = [(i, t) for i, t in enumerate(some_texts(12, 60))]
     rows += [(1000 + k, rows[k][1] + " " + t.capitalize() + "! " + rows[k + 1][1]) for k, t in items]
     rows += [(2000 + k, " ".join(t.split()[: len(t.split()) // 3])) for k, t in items]
-    bench = spark.createDataFrame([*items, (77, None), (78, ""), (None, "a b c")], "item_id long, text string")
+    bench = spark.createDataFrame([*items, (77, None), (78, ""), (None, "zz yy xx ww")], "item_id long, text string")
     for shard in (7, 1000):
         got = decontaminate.contaminated(spark, docs_of(spark, [*rows, *EDGES]), bench, shard=shard).collect()
         assert {(r.doc_id, r.item_id) for r in got} == {(1000 + k, k) for k, _ in items}
+        named = [(7, t) for _, t in rows]  # one id for all: rows are judged by their texts
+        left = decontaminate.clean(spark, docs_of(spark, [*named, (None, items[3][1])]), bench, shard=shard).collect()
+        assert sorted(r.text for r in left) == sorted(t for i, t in rows if not 1000 <= i < 2000)
     assert decontaminate.contaminated(spark, docs_of(spark, rows), bench.where("false")).count() == 0
+    assert decontaminate.clean(spark, docs_of(spark, rows), bench.where("false")).count() == len(rows)
+
+
+def test_hits_do_not_depend_on_shards(spark):
+    """Parts of items near the threshold, items of several length classes and without an id; scores by plain BM25."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(400)]
+    items = [(k if k % 5 else None, " ".join(rng.choice(words) for _ in range(rng.choice([9, 30, 70, 150])))) for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = []
+    for k, (_, text) in enumerate(items):
+        part = text.split()
+        size = int(len(part) * rng.uniform(0.8, 1.0))
+        rows.append((k, " ".join([*(rng.choice(words) for _ in range(20)), *part[:size], *(rng.choice(words) for _ in range(20))])))
+    found = []
+    for shard in (3, 11, 1000):
+        got = decontaminate.contaminated(spark, docs_of(spark, rows), bench, threshold=0.7, shard=shard).collect()
+        found.append(sorted((r.doc_id, r.item_id if r.item_id is not None else -1, round(r.score, 6)) for r in got))
+    assert found[0] == found[1] == found[2] and 10 < len(found[0]) < 200 and any(i == -1 for _, i, _ in found[0])
+    texts = [t.split() for _, t in items]
+    df, mean = Counter(w for t in texts for w in set(t)), sum(map(len, texts)) / len(texts)
+    weight = lambda t, w: math.log1p((len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean))
+    best = {}
+    for doc, text in rows:
+        d = text.split()
+        for k, t in enumerate(texts):
+            size = max(64, 1 << (len(t) - 1).bit_length())
+            total = sum(weight(t, w) for w in set(t))
+            for at in range(0, len(d), size):
+                passage = set(d[at : at + 2 * size])
+                score = sum(weight(t, w) for w in set(t) & passage) / total
+                best[doc, k] = max(best.get((doc, k), 0.0), score)
+    reached = {(doc, round(v, 6)) for (doc, _), v in best.items() if v >= 0.7}
+    assert {(d, s) for d, _, s in found[0]} <= reached
+    assert {k for (k, j), v in best.items() if k == j and v >= 0.95} <= {d for d, *_ in found[0]}
 
 
 def plain_components(rows, percent=85):
@@ -227,8 +267,8 @@ def test_pipeline_drops_near_copies_from_four_fifths(spark):
 
 
 def test_crossing_blocks_find_what_stars_miss(spark, monkeypatch):
-    monkeypatch.setattr(setsketch, "PIVOTS", 0)
     monkeypatch.setattr(setsketch, "BLOCK", 4)
+    monkeypatch.setattr(setsketch, "COLUMNS", 16)
     rng = random.Random(16)
     words = [w for t in some_texts(17, 12) for w in t.split()][:150]
     rows = [(i, mutated(rng, words, 0.015)) for i in range(40)]
@@ -236,6 +276,25 @@ def test_crossing_blocks_find_what_stars_miss(spark, monkeypatch):
     assert sorted((int(r.doc_id), int(r.n_shingles), int(r.component_id), bool(r.kept)) for r in got.itertuples()) == plain_components(rows)
 
 
+def test_keep_one_goes_by_rows(spark):
+    """Ids that repeat, copies without an id, rows without words and equal rows."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black")
+    rows = [(5, a), (10, a), (10, b), (None, a), (None, c), (None, c.upper()), (20, ""), (20, ""), (21, None), (None, " "), (30, "x y"), (30, "x y")]
+    got = setsketch.keep_one(spark, docs_of(spark, rows).withColumn("mark", F.lit("clash")))
+    found = sorted(((-1 if r.doc_id is None else r.doc_id), (r.text or "").lower()) for r in got.collect())
+    assert found == sorted([(5, a), (10, b), (-1, c), (20, ""), (20, ""), (21, ""), (-1, " "), (30, "x y")])
+    assert got.columns == [*docs_of(spark, rows).columns, "mark"]
+    assert setsketch.keep_one(spark, docs_of(spark, rows).where("false")).count() == 0
+
+
+def test_intersections_of_sets():
+    rng = np.random.default_rng(6)
+    left, right = ([np.unique(rng.integers(0, 40, n).astype(np.uint64)) for n in rng.integers(1, 60, 20)] for _ in range(2))
+    want = [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    assert setsketch.intersections(left, right).tolist() == want
+    assert setsketch.intersections([np.array([1], np.uint64)], [np.array([2], np.uint64)]).tolist() == [[0]]
+
+
 def test_audio_search_recall(spark):
     rng = np.random.default_rng(18)
     base = rng.normal(size=(40, 64))
