@@ -1,14 +1,13 @@
 """The corpus pipeline: toxicity, quality, near-duplicates, benchmark decontamination, byte-level BPE.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; the first four return the columns of documents, the
-last one token ids. Rows with null ids pass the filters by their text; rows that repeat an id are judged by that id in the
-decontamination stage and by their text in the others.
+last one token ids. Every row is judged by its own text, whatever its id: ids may be null or repeat. Null text is empty;
+extra columns pass through the first four stages; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, decontaminate, factorization, quality, setsketch
 from quillspark.llm.common import stage, table
@@ -16,27 +15,22 @@ from quillspark.llm.common import stage, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores below 0.5."""
-    text = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    machine = factorization.fit(spark, docs, table(spark, sf_dir, "labels"))
-    return factorization.score(spark, text, machine).where("toxicity < 0.5").select(docs.columns)
+    return factorization.below(spark, docs, factorization.fit(spark, docs, table(spark, sf_dir, "labels")))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior of good quality is 0.5 or more."""
-    text = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    classifier = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(spark, text, classifier).where("posterior >= 0.5").select(docs.columns)
+    return quality.at_least(spark, docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of similarity 0.80; rows without an id stay."""
+    """One row of each component of similarity 0.80: the one with the smallest id."""
     return setsketch.keep_one(spark, docs, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
-    hits = decontaminate.contaminated(spark, docs, table(spark, sf_dir, "benchmark")).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(stage(spark, hits, "contaminated"), "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.clean(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
