@@ -15,14 +15,13 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import column, map_batches, text_of
+from .common import column, held, map_batches, text_of
 from .words import SPACE, PieceTable, scan
 
 #: Matches of the pattern and transducer states that a worker remembers before it starts afresh.
@@ -250,11 +249,10 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     # The memos hold many small objects and no cycles: full collections would walk them again and again.
     gc.set_threshold(200_000, 50, 100)
-    return Encoder(load_ranks(path), pattern)
+    return held("bpe", (path, pattern), lambda: Encoder(load_ranks(path), pattern))
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, step: int = 1 << 16) -> DataFrame:
@@ -279,4 +277,4 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, step: int = 1 << 16)
         )
 
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return map_batches(source, kernel, "doc_id long, ids binary, n_tokens long, decoded string, ids_sha256 string, decoded_sha256 string")
+    return map_batches(source, kernel, "doc_id long, ids binary, n_tokens long, decoded string, ids_sha256 string, decoded_sha256 string", holds="bpe")

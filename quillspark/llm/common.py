@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -87,11 +89,36 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """mapInArrow with a kernel from one record batch to one record batch (or None for no rows)."""
+_HELD: dict[tuple, object] = {}
+
+
+def held(kind: str, key: tuple, make: Callable[[], object]):
+    """What a worker keeps from task to task, such as tables of token ids: made when first asked for."""
+    if (kind, *key) not in _HELD:
+        _HELD[kind, *key] = make()
+    return _HELD[kind, *key]
+
+
+def drop_held(but: str | None = None) -> None:
+    """Workers are used again by later stages: a task frees what tasks of other kinds kept, and gives the memory back."""
+    others = [key for key in _HELD if key[0] != but]
+    for key in others:
+        del _HELD[key]
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
+def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, holds: str | None = None) -> DataFrame:
+    """mapInArrow with a kernel from one record batch to one record batch (or None for no rows). `holds` is the kind of
+    what the kernel asks `held` for."""
     bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held(holds)
         for batch in batches:
             if batch.num_rows and (out := kernel(batch)) is not None and out.num_rows:
                 yield out

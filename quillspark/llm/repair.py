@@ -26,7 +26,6 @@ import json
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, stage, text_of
+from .common import bound_batches, column, drop_held, held, stage, text_of
 from .words import PieceTable, scan
 
 BLOCK_IDS, LEAST = 1 << 20, 3
@@ -102,9 +101,8 @@ class WordCoder:
                 yield ids[a:b].tobytes() + self.end
 
 
-@lru_cache(maxsize=2)
 def coder(path: str, end: int) -> WordCoder:
-    return WordCoder(path, end)
+    return held("words", (path, end), lambda: WordCoder(path, end))
 
 
 def _bits(most: int) -> int:
@@ -276,6 +274,7 @@ def _gather(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, symbols:
 def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int = 2, block: int = BLOCK_IDS, path_label: str = "grammar") -> DataFrame:
     """Encode and write docs; the dataset of blocks, read back: shard, block, first, n_ids, doc_ids, payload. The number
     of shards follows the bytes of text; ids that repeat, and null ones, may spread over several shards."""
+    bound_batches(spark)
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), F.monotonically_increasing_id().alias("place"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
@@ -284,12 +283,13 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int = 2, bl
     def run(batches):
         from pyspark import TaskContext
 
+        drop_held("words")
         words, shard = coder(tokenizer, end), TaskContext.get().partitionId()
-        held, ids, size, number, first = [], [], 0, 0, 0
+        coded_docs, ids, size, number, first = [], [], 0, 0, 0
 
         def flush():
-            data = np.frombuffer(b"".join(held), "<u4")
-            payload = write_block(data, np.array([len(x) // 4 for x in held]), end)
+            data = np.frombuffer(b"".join(coded_docs), "<u4")
+            payload = write_block(data, np.array([len(x) // 4 for x in coded_docs]), end)
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
                 names=["shard", "block", "first", "n_ids", "doc_ids", "payload"],
@@ -297,13 +297,13 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int = 2, bl
 
         for batch in batches:
             for doc, coded in zip(column(batch, "doc_id").to_pylist(), words.encode(column(batch, "text")), strict=True):
-                if held and size + len(coded) // 4 > block:
+                if coded_docs and size + len(coded) // 4 > block:
                     yield flush()
-                    held, ids, first, number, size = [], [], first + size, number + 1, 0
-                held.append(coded)
+                    coded_docs, ids, first, number, size = [], [], first + size, number + 1, 0
+                coded_docs.append(coded)
                 ids.append(doc)
                 size += len(coded) // 4
-        if held:
+        if coded_docs:
             yield flush()
 
     return stage(spark, dealt.mapInArrow(run, "shard int, block int, first long, n_ids long, doc_ids array<long>, payload binary"), path_label)
