@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from .common import column, held, map_batches, text_of
 from .words import SPACE, PieceTable, scan
 
-#: Matches of the pattern and transducer states that a worker remembers before it starts afresh.
-MEMO_MATCHES, MAX_STATES = 400_000, 120_000
+#: Matches of the pattern, transducer states and judged token pairs that a worker remembers before it starts afresh.
+MEMO_MATCHES, MAX_STATES, MAX_FITS = 60_000, 100_000, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -97,6 +97,8 @@ class Transducer:
                             bound, a = a, sa[1]
                         else:
                             bound, b = b + 1, sb[0]
+            if len(self.fits) >= MAX_FITS:
+                self.fits.clear()
             self.fits[left, right] = got
         return got
 
