@@ -111,11 +111,11 @@ def snippet_parts(marked: Column) -> Column:
 
 
 # Digit repair of recognised text.
-_DIGIT_LOOKALIKES, _DIGITS = "lIi|OoSZBgq", "11110052899"
+LOOKALIKES, DIGITS = "lIi|OoSZBgq", "11110052899"
 
 
 def repair_digits(text: Column) -> Column:
-    return F.translate(text, _DIGIT_LOOKALIKES, _DIGITS)
+    return F.translate(text, LOOKALIKES, DIGITS)
 
 
 def alnum_ratio(text: Column) -> Column:

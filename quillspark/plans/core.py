@@ -903,7 +903,20 @@ def extract_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.entities(rows).select("region_id", "entity_type", "normalized_value", "raw_text", "confidence", "start_char", "end_char")
 
 
-register("extract_udtf", extract_udtf)
+register("extract_udtf", extract_udtf, """
+WITH parts AS (
+  SELECT o_orderkey AS region_id, (o_orderkey % 101) / 100.0 AS sure, o_orderdate AS d, o_orderkey % 900 AS pounds, CAST(o_totalprice AS DECIMAL(14,2)) AS total,
+         strftime(o_orderdate, '%B %-d, %Y') AS day, '£' || (o_orderkey % 900) || ' 5s 3d' AS sterling,
+         format('${:,}', CAST(floor(CAST(o_totalprice AS DECIMAL(14,2))) AS BIGINT)) || right(CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS VARCHAR), 3) AS dollar
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+placed AS (SELECT *, 3 + length(day) + 6 AS a1 FROM parts), ends AS (SELECT *, a1 + length(sterling) AS b1 FROM placed),
+found AS (
+  SELECT region_id, 'date' AS entity_type, strftime(d, '%Y-%m-%d') AS normalized_value, day AS raw_text, 0.92 * sure AS c, 3 AS start_char FROM ends
+  UNION ALL SELECT region_id, 'amount', printf('GBP %.2f', pounds + 0.2625), sterling, 0.9 * sure, a1 FROM ends
+  UNION ALL SELECT region_id, 'location', 'Mumbai', 'Bombay', 0.95 * sure, b1 + 4 FROM ends
+  UNION ALL SELECT region_id, 'person', 'John Smith', 'John Smith', 0.7 * sure, b1 + 18 FROM ends
+  UNION ALL SELECT region_id, 'amount', 'USD ' || CAST(total AS VARCHAR), dollar, 0.95 * sure, b1 + 35 FROM ends)
+SELECT region_id, entity_type, normalized_value, raw_text, round(CAST(c AS DOUBLE), 4) AS confidence, CAST(start_char AS INT) AS start_char, CAST(start_char + length(raw_text) AS INT) AS end_char FROM found""")
 
 # --- generated and literal relations -------------------------------------------------------------------------------
 
