@@ -25,12 +25,12 @@ def confidence_level(value: Column) -> Column:
     return F.when(value < 0.55, "low").when(value < 0.82, "medium").otherwise("high")
 
 
-def _flag(frame: DataFrame, kind: str, severity: Column | str, raw_text: Column, measured: Column, threshold: float | None) -> DataFrame:
+def _flag(frame: DataFrame, kind: str, severity: Column | str, raw_text: Column, measured: Column, threshold: Column | float | None) -> DataFrame:
     severity = F.lit(severity) if isinstance(severity, str) else severity
     region = F.col("region_id") if "region_id" in frame.columns else F.lit(None).cast("string")
     return frame.select(
         F.lit(kind).alias("flag_type"), severity.alias("severity"), F.col("page_id"), region.alias("region_id"), raw_text.cast("string").alias("raw_text"),
-        measured.cast("double").alias("measured"), F.lit(threshold).cast("double").alias("threshold"),
+        measured.cast("double").alias("measured"), F.lit(threshold).cast("double").alias("threshold"),  # lit() passes a column through
     )
 
 
@@ -39,7 +39,7 @@ def illegible(ocr: DataFrame, least_confidence: float = ILLEGIBLE, least_alnum:
     ratio = alnum_ratio(F.coalesce(F.col("text"), F.lit("")))
     low = F.col("ocr_confidence") < least_confidence
     found = ocr.where(low | (ratio < least_alnum))
-    return _flag(found, "illegible", "high", F.col("text"), F.when(low, F.col("ocr_confidence")).otherwise(ratio), None).withColumn("threshold", F.when(F.col("measured") < 1.0, least_alnum).otherwise(least_confidence).cast("double"))
+    return _flag(found, "illegible", "high", F.col("text"), F.when(low, F.col("ocr_confidence")).otherwise(ratio), F.when(low, least_confidence).otherwise(least_alnum))
 
 
 def _is_illegible() -> Column:

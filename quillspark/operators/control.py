@@ -54,3 +54,17 @@ def allowed(sessions: DataFrame, denied: DataFrame, now: Column) -> DataFrame:
 
 def counters(increments: DataFrame) -> DataFrame:
     return increments.groupBy("name").agg(F.sum("n").cast("long").alias("value"))
+
+
+def numbered(frame: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """frame with `number`: 1, 2, … in the order of a unique key, without one task for all rows. Rows are dealt by approximate
+    quantiles of the key; a row's number is its place among the rows between two of them, plus the rows below. The quantiles are
+    constants of the plan, so it does not matter how often or in how many partitions a branch is computed."""
+    shares = [k / parts for k in range(1, parts)]
+    bounds = frame.agg(F.percentile_approx(key, shares)).first()[0] or []
+    part = sum((F.when(F.col(key) > b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0))
+    dealt = frame.withColumn("part", part)
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a part
+    local = F.row_number().over(Window.partitionBy("part").orderBy(key))
+    return dealt.withColumn("local", local).join(F.broadcast(before), "part").withColumn("number", (F.col("local") + F.col("before")).cast("long")).drop("part", "local", "before")
