@@ -264,14 +264,46 @@ def test_page_main_text_and_wrapper():
     pages = [wrappers.Page(page(k, 2 + k)) for k in range(4)]
     expected = "A & B\n\n" + "\n\n".join(f"Par {i} of é1 end" for i in range(3))
     assert pages[1].text(pages[1].kinds) == expected
-    pattern = wrappers.pattern(wrappers.infer([wrappers.stream(p) for p in pages]))
-    assert "+" in pattern
-    text, matched = wrappers.extract(wrappers.Page(page(1, 3)), pattern)
+    wrapper = wrappers.compiled(wrappers.infer([wrappers.stream(p, k) for k, p in enumerate(pages)]))
+    assert "+" in wrapper
+    text, matched = wrappers.extract(wrappers.Page(page(1, 3)), wrapper)
     assert matched and text == expected
-    text, matched = wrappers.extract(wrappers.Page("<table><tr><td>other"), pattern)
+    text, matched = wrappers.extract(wrappers.Page("<table><tr><td>other"), wrapper)
     assert not matched and text == "other"
 
 
+def nameless(rng, k, words=30):
+    """A page whose tags and classes say nothing, and its article."""
+    sentence = lambda: " ".join(rng.choice(["ore", "lind", "tam", "vess", "quo", "pel", "rast"]) for _ in range(rng.randint(5, words)))
+    parts = [f"Title {k} {sentence()}", *(sentence() + f" {k}{j}" for j in range(rng.randint(1, 6)))]
+    body = f"<div class='k3'><div class='q'>{parts[0]}</div>" + "".join(f"<p>{x}</p>" for x in parts[1:]) + "</div>"
+    menu = "<div class='k1'>" + "".join(f"<span><a href='/{x}'>{x}</a></span>" for x in ("Home", "World", "Money", "Law")) + "</div>"
+    return f"<body>{menu}<div class='k2'>All rights kept</div>{body}<div class='k4'><div>Call us</div><div>Terms of use</div></div></body>", "\n\n".join(parts)
+
+
+def test_alignment_finds_the_template_where_names_say_nothing():
+    rng = random.Random(31)
+    pages = [nameless(rng, k) for k in range(40)]
+    streams = [wrappers.stream(wrappers.Page(h), k) for k, (h, _) in enumerate(pages[:12])]
+    wrapper = wrappers.compiled(wrappers.infer(streams))
+    got = [wrappers.extract(wrappers.Page(h), wrapper) for h, _ in pages[12:]]
+    assert sum(m for _, m in got) >= 25
+    right = sum(text == want for (text, _), (_, want) in zip(got, pages[12:], strict=True))
+    alone = sum(wrappers.extract(wrappers.Page(h), None)[0] == want for h, want in pages[12:])
+    assert right >= 25 and alone == 0
+
+
+def test_template_spares_other_texts_and_copies():
+    rng = random.Random(32)
+    pages = [nameless(rng, k) for k in range(12)]
+    wrapper = wrappers.compiled(wrappers.infer([wrappers.stream(wrappers.Page(h), k) for k, (h, _) in enumerate(pages)]))
+    other = pages[0][0].replace("All rights kept", "A new text in an old place")
+    assert wrappers.extract(wrappers.Page(other), wrapper)[0] == "A new text in an old place\n\n" + pages[0][1]
+    same = [pages[0][0].replace("</p></div>", f"</p><p>{k}</p></div>") for k in range(6)]  # one article, nearly
+    wrapper = wrappers.compiled(wrappers.infer([wrappers.stream(wrappers.Page(h), k) for k, h in enumerate(same)]))
+    assert pages[0][1] in wrappers.extract(wrappers.Page(same[1]), wrapper)[0]
+
+
 def test_article_passages_stay_whatever_their_ids_and_boilerplate_goes():
     source = (
         "<main><article><h2 id='related-work'>Related</h2><p>one</p><section id='discussion'><p id='social-effects'>two <math><mi>x</mi></math></p></section>"
