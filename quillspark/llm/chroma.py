@@ -7,9 +7,10 @@ one 32-bit integer for each frame position.
 
 Search. Recordings with equal fingerprints form one class (grouped by digest, partial aggregation), so copies cost
 nothing more. Classes that hold a query id are looked up: equal integers of query and recording vote for a time
-offset, in one aggregation over (query class, class, offset); the offsets of a pair with the most votes are aligned and the bit errors of
-the overlap counted. Pairs up to `most_errors` of the bits are returned. An integer that repeats within one recording votes
-once for each of its places in a small window after the first, so constant sound does not multiply votes.
+offset, in one aggregation over (query class, class, offset); the OFFSETS offsets of a pair with the most votes are
+aligned and the bit errors of the overlap counted, if that has `least_overlap` positions or is the whole of a shorter
+recording. Pairs up to `most_errors` of the bits are returned. Where a sound is held, only the place where its integer
+begins votes. Integers that many recordings hold are dealt out by recording as well, so no task has all of one.
 
 Defined cases: null or too short recordings have an empty fingerprint and match nothing; null ids are members of classes
 but no queries; repeated rows are members each; empty input gives empty output. Other columns are ignored.
@@ -30,6 +31,8 @@ LOWEST, HIGHEST = 110.0, 950.0
 FILTERS = [(k % 4, (5 * k) % 9, 3 + (k % 4), 4 + 2 * (k % 5)) for k in range(16)]
 #: Thresholds of a filter's log ratio: three cuts make four levels, two bits in Gray code.
 CUTS = (-0.25, 0.0, 0.25)
+#: Offsets of a pair that are aligned; postings of one integer that a task takes, at least.
+OFFSETS, HEAVY = 3, 10_000
 WIDEST = max(f[3] for f in FILTERS)
 
 
@@ -141,7 +144,7 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return map_batches(recordings, kernel, "id long, print binary")
 
 
-def search(spark: SparkSession, recordings: DataFrame, every: int = 50, most_errors: float = 0.1, least_votes: int = 2) -> DataFrame:
+def search(spark: SparkSession, recordings: DataFrame, every: int = 50, most_errors: float = 0.1, least_votes: int = 2, least_overlap: int = 50) -> DataFrame:
     """Rows of two kinds. Members: (class_id, id) for each recording. Matches: (class_id of a class with a query id,
     match_class_id, offset, votes, bit_error_rate). A class is named by its smallest id."""
     prints = stage(spark, fingerprints(recordings), "prints")
@@ -166,20 +169,31 @@ def search(spark: SparkSession, recordings: DataFrame, every: int = 50, most_err
     full = classes.where("length(print) > 0")
     postings = map_batches(full.select("digest", "print"), split, "key long, name string, at int")
     asked = map_batches(full.where("query").select("digest", "print"), split, "key long, name string, at int").withColumnsRenamed({"name": "asker", "at": "from"})
-    votes = asked.join(postings, "key").where(F.col("asker") != F.col("name")).groupBy("asker", "name", (F.col("at") - F.col("from")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("asker", "name").agg(F.max(F.struct("votes", -F.abs("offset"), "offset")).alias("best")).where(F.col("best.votes") >= least_votes)
-    pairs = best.select("asker", "name", "best.offset", "best.votes")
+    held = stage(spark, postings, "postings")
+    # At most 100,000 integers count as heavy, whatever the number of recordings: the table of them may be broadcast.
+    heavy = held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(HEAVY, held.count() // 100_000))
+    parts = stage(spark, heavy.select("key", F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")), "heavy")
+    dealt = lambda side: side.join(F.broadcast(parts), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    asked = dealt(asked).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    held = dealt(held).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")).drop("parts")
+    votes = asked.join(held, ["key", "part"]).where(F.col("asker") != F.col("name")).groupBy("asker", "name", (F.col("at") - F.col("from")).alias("offset")).agg(F.count("*").alias("votes"))
+    ranked = F.sort_array(F.collect_list(F.struct("votes", -F.abs("offset"), "offset")), asc=False)  # a pair has as many offsets as positions
+    pairs = votes.where(F.col("votes") >= least_votes).groupBy("asker", "name").agg(F.slice(ranked, 1, OFFSETS).alias("best")).select("asker", "name", "best.offset", "best.votes")
     sides = full.select("digest", "class_id", "print")
     joined = pairs.join(sides.withColumnsRenamed({"digest": "asker", "class_id": "a", "print": "x"}), "asker").join(sides.withColumnsRenamed({"digest": "name", "class_id": "b", "print": "y"}), "name")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rates = []
-        for x, y, offset in zip(*(column(batch, c).to_pylist() for c in ("x", "y", "offset")), strict=True):
-            wrong, bits = bit_errors(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), offset)
-            rates.append(wrong / bits if bits else 1.0)
-        keep = pa.array(np.array(rates) <= most_errors)
-        arrays = [*(column(batch, c) for c in ("a", "b", "offset", "votes")), pa.array(rates)]
-        return pa.RecordBatch.from_arrays([a.filter(keep) for a in arrays], names=["class_id", "match_class_id", "offset", "votes", "bit_error_rate"])
+        rows, found = [], []
+        for k, (x, y, offsets, count) in enumerate(zip(*(column(batch, c).to_pylist() for c in ("x", "y", "offset", "votes")), strict=True)):
+            p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            need = 32 * min(least_overlap, len(p), len(q))
+            tried = [(wrong / bits, n, o) for o, n in zip(offsets, count, strict=True) for wrong, bits in [bit_errors(p, q, o)] if bits and bits >= need]
+            if tried and (best := min(tried, key=lambda z: (z[0], -z[1], abs(z[2]), z[2])))[0] <= most_errors:
+                rows.append(k)
+                found.append(best)
+        sides_ = [column(batch, c).take(pa.array(rows, pa.int64())) for c in ("a", "b")]
+        arrays = [*sides_, pa.array([o for *_, o in found], pa.int32()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([e for e, *_ in found], pa.float64())]
+        return pa.RecordBatch.from_arrays(arrays, names=["class_id", "match_class_id", "offset", "votes", "bit_error_rate"])
 
     schema = "class_id long, match_class_id long, offset int, votes long, bit_error_rate double"
     matches = map_batches(joined.select("a", "b", "offset", "votes", "x", "y"), verify, schema)

@@ -320,6 +320,26 @@ def test_audio_search_recall(spark):
                     want.add((a, b))
     found = {(int(r.class_id), int(r.match_class_id)) for r in got[~got.match_class_id.isna()].itertuples()}
     assert want and len(found & want) >= 0.9 * len(want)
+    for r in got[~got.match_class_id.isna()].itertuples():  # every match is one
+        wrong, bits = chroma.bit_errors(prints[int(r.class_id)], prints[int(r.match_class_id)], int(r.offset))
+        assert bits >= 32 * 50 and wrong / bits <= 0.1 and abs(wrong / bits - r.bit_error_rate) < 1e-12
+
+
+def test_audio_search_with_heavy_integers_and_cut_recordings(spark, monkeypatch):
+    """The same result where common integers are dealt out; shifted cuts of a recording match at their offset; two positions
+    that agree by chance are no match; extra columns and empty tables."""
+    rng = np.random.default_rng(19)
+    base = [chroma.render(rng.normal(size=64)) for _ in range(6)]
+    cut = base[0][2 * 128 * 8 :]  # eight notes later
+    rows = [(k * 50, p) for k, p in enumerate(base)] + [(1001, cut), (1002, base[1][: 2 * 128 * 40]), (1003, base[2][: 2 * 700]), (1004, None)]
+    media = spark.createDataFrame(rows, "id long, pcm binary").withColumn("print", F.lit("clash"))
+    plain = sorted(map(tuple, chroma.search(spark, media).where("match_class_id is not null").collect()), key=str)
+    monkeypatch.setattr(chroma, "HEAVY", 2)
+    assert sorted(map(tuple, chroma.search(spark, media).where("match_class_id is not null").collect()), key=str) == plain
+    found = {(r.class_id, r.match_class_id): r.offset for r in chroma.search(spark, media).where("match_class_id is not null").collect()}
+    assert found[0, 1001] == -8 * 128 // chroma.HOP and found[50, 1002] == 0
+    assert set(found) <= {(0, 1001), (50, 1002), (100, 1003)}
+    assert chroma.search(spark, media.where("false")).count() == 0
 
 
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
