@@ -6,10 +6,11 @@ is observed as one of `BUCKETS` classes by its last two bytes. A state emits a s
 the add-0.1 smoothed counts within the class, so the model is a distribution over all words. Counts of tail words meet
 the documents in a shuffle join on the word hash: nothing that grows with the vocabulary is broadcast.
 
-Baum-Welch. Initial parameters come from `init_docs` training documents (farthest-first seeds, a few local rounds).
-Then every round runs scaled forward-backward over all training documents where they lie; partial counts (a few
-thousand rows of S numbers a task, whatever the task's size) are summed by Spark and only the sums, whose size is fixed
-by the model, reach the driver.
+Baum-Welch. Of about `init_docs` training documents, drawn by lot, those that are farthest from each other in symbol frequencies
+are seeds, one a state. Then all training documents are assigned to the nearest seed, and the symbol counts of each
+share of the corpus are the initial emissions. Every round runs scaled forward-backward over all training documents where
+they lie, until a round gains less than `gain` nats a token or `rounds` are done. Partial counts (a few thousand rows of S
+numbers a task, whatever the task's size) are summed by Spark and only the sums, whose size is fixed by the model, reach the driver.
 
 Defined cases: null text is empty (its only token is the end); a null id counts as the empty text in the fold, and
 is returned as null; repeated rows are scored each; an empty training set gives N = 0 and base score 0 per token.
@@ -18,6 +19,7 @@ Other columns of docs are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, discard, fold, map_batches, stage, text_of
+from .common import bound_batches, column, discard, fold, map_batches, stage, text_of
 from .words import HashIndex, scan
 
 END = 0
@@ -78,10 +80,17 @@ def forward(model: Hmm, block: np.ndarray, alive: np.ndarray, keep: bool = False
 
 def expect(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
     """Expected counts over the sequences: rows 0..C-1 emissions by symbol, then S rows of moves, then the starts."""
+    return expected(model, seqs)[0]
+
+
+def expected(model: Hmm, seqs: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """expect(), and the log likelihood of the sequences."""
+    likelihood = 0.0
     symbols, states = model.emit.shape
     total = np.zeros((symbols + states + 1, states))
     for _, block, alive in batches(seqs):
-        _, rows, scales = forward(model, block, alive, keep=True)
+        logs, rows, scales = forward(model, block, alive, keep=True)
+        likelihood += float(logs.sum())
         beta = np.ones_like(rows[-1])
         gammas, moves = [rows[-1]], np.zeros((states, states))
         for t in range(len(alive) - 2, -1, -1):
@@ -97,7 +106,7 @@ def expect(model: Hmm, seqs: list[np.ndarray]) -> np.ndarray:
             total[:symbols, s] += np.bincount(seen, gamma[:, s], symbols)
         total[symbols : symbols + states] += moves * model.move
         total[-1] += gammas[-1].sum(0)
-    return total
+    return total, likelihood
 
 
 def maximise(counts: np.ndarray, prior: np.ndarray) -> Hmm:
@@ -110,30 +119,53 @@ def maximise(counts: np.ndarray, prior: np.ndarray) -> Hmm:
     return Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def initial(seqs: list[np.ndarray], states: int, prior: np.ndarray, rounds: int) -> Hmm:
-    """Seeds: documents far from each other in symbol frequencies; then a few local rounds of Baum-Welch."""
-    symbols = len(prior)
-    total = np.zeros((symbols + states + 1, states))
-    total[symbols:-1] = 0.2 / states
-    total[symbols:-1][np.diag_indices(states)] += 5.0
-    seqs = [s for s in seqs if len(s) > 1]
-    if seqs:
-        cells = np.zeros((len(seqs), symbols), np.float32)
-        for i, s in enumerate(seqs):
-            np.add.at(cells[i], s, 1.0)
-        cells = np.sqrt(cells / cells.sum(1, keepdims=True))
-        chosen = [int(np.argmax([len(s) for s in seqs]))]
+def profiles(seqs: list[np.ndarray], symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(splits, symbols, roots of their shares): the distinct symbols of each sequence. Profiles have unit length."""
+    owner = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
+    flat = np.concatenate(seqs) if seqs else np.zeros(0, np.int32)
+    cells, counts = np.unique(owner * symbols + flat, return_counts=True)
+    splits = np.searchsorted(cells, np.arange(len(seqs) + 1) * symbols)
+    lengths = np.maximum(np.array([len(s) for s in seqs], float), 1)
+    return splits, (cells % symbols).astype(np.int32), np.sqrt(counts / lengths[cells // symbols])
+
+
+def nearest(seqs: list[np.ndarray], seeds: np.ndarray) -> np.ndarray:
+    """For each sequence the column of seeds (C, S) that is nearest to its profile."""
+    splits, symbol, share = profiles(seqs, len(seeds))
+    sums = np.concatenate((np.zeros((1, seeds.shape[1])), np.cumsum(seeds[symbol] * share[:, None], 0)))
+    return np.argmax(sums[splits[1:]] - sums[splits[:-1]], 1)
+
+
+def farthest(cells: np.ndarray, states: int) -> np.ndarray:
+    """Seeds (C, states) out of profiles (n, C): each next one is the farthest from those chosen. Seeds that lack are zero."""
+    out = np.zeros((cells.shape[1], states))
+    if len(cells):
+        chosen = [int(np.argmax((cells > 0).sum(1)))]
         near = cells @ cells[chosen[0]]
-        while len(chosen) < min(states, len(seqs)):
+        while len(chosen) < min(states, len(cells)):
             chosen.append(int(np.argmin(near)))
             near = np.maximum(near, cells @ cells[chosen[-1]])
-        owner = np.argmax(cells @ cells[chosen].T, 1)
-        for i, s in enumerate(seqs):
-            total[:symbols, owner[i]] += np.bincount(s, minlength=symbols)
-    model = maximise(total, prior)
-    for _ in range(rounds if seqs else 0):
-        model = maximise(expect(model, seqs), prior)
-    return model
+        out[:, : len(chosen)] = cells[chosen].T
+    return out
+
+
+def assigned(seqs: list[np.ndarray], seeds: np.ndarray) -> np.ndarray:
+    """Counts as those of expect(): each sequence's symbols go to the state whose seed is nearest."""
+    symbols, states = seeds.shape
+    total = np.zeros((symbols + states + 1, states))
+    if seqs:
+        owner = np.repeat(nearest(seqs, seeds), [len(s) for s in seqs])
+        total[:symbols] = np.bincount(np.concatenate(seqs) * states + owner, minlength=symbols * states).reshape(symbols, states)
+    return total
+
+
+def begin(counts: np.ndarray, prior: np.ndarray) -> Hmm:
+    """Initial parameters from assigned counts: states tend to stay."""
+    symbols, states = len(prior), counts.shape[1]
+    counts = counts.copy()
+    counts[symbols:-1] = 0.2 / states
+    counts[symbols:-1][np.diag_indices(states)] += 5.0
+    return maximise(counts, prior)
 
 
 def _unpack(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -141,9 +173,9 @@ def _unpack(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 class Scorer:
-    def __init__(self, spark: SparkSession, head: int, own: int, states: int, rounds: int, init_docs: int, init_rounds: int):
+    def __init__(self, spark: SparkSession, head: int, own: int, states: int, rounds: int, init_docs: int, gain: float):
         self.spark, self.head, self.own, self.states = spark, head, own, states
-        self.rounds, self.init_docs, self.init_rounds = rounds, init_docs, init_rounds
+        self.rounds, self.init_docs, self.gain = rounds, init_docs, gain
 
     def count(self, train: DataFrame) -> DataFrame:
         """Rows (w, c, tail): word hash, count, class by the last two bytes; each task sums what it holds first."""
@@ -178,6 +210,7 @@ class Scorer:
 
     def run(self, docs: DataFrame, held: F.Column) -> DataFrame:
         spark = self.spark
+        bound_batches(spark)
         rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), held.alias("held_out"))
         train = rows.where(~F.col("held_out"))
         counts = stage(spark, self.count(train), "counts")
@@ -198,12 +231,15 @@ class Scorer:
         prior /= prior.sum()
         within = np.log10(buckets[:, 0] + 0.1 * (buckets[:, 1] + 1))
         encoded = stage(spark, self.encode(rows, spark.sparkContext.broadcast((words, seen, own, within))), "encoded")
-        # Each training document with the same chance, so that about init_docs come, from all over the corpus.
-        lot = F.pmod(F.xxhash64("doc_id", "rid"), F.lit(1 << 40))
-        sample = encoded.where(~F.col("held_out") & (lot * float(ends) < float(1 << 40) * self.init_docs)).orderBy("rid") if ends > self.init_docs else encoded.where(~F.col("held_out")).orderBy("rid")
-        model = initial([np.frombuffer(r.seq, "<u2").astype(np.int32) for r in sample.select("seq").collect()], self.states, prior, self.init_rounds)
+        training = encoded.where(~F.col("held_out"))
+        model = begin(self.summed(training, lambda seeds, seqs: (assigned(seqs, seeds), 0.0), self.seeds(training, len(prior), ends))[0], prior)
+        before = None
         for _ in range(self.rounds):
-            model = maximise(self.counted(encoded.where(~F.col("held_out")).select("seq"), model), prior)
+            found, likelihood = self.summed(training, expected, model)
+            model = maximise(found, prior)
+            if before is not None and likelihood - before < self.gain * tokens:
+                break
+            before = likelihood
         out = self.score(encoded, counts, model)
         base = float(np.log10(tokens + 0.1 * (distinct + 1)))
         return out.select(
@@ -214,16 +250,34 @@ class Scorer:
             (F.col("path") + F.col("counted") - F.col("own_counted") - F.col("within")).alias("score"),
         )
 
+    def seeds(self, training: DataFrame, symbols: int, documents: int) -> np.ndarray:
+        """Farthest profiles of about `init_docs` documents, each drawn with the same chance. A profile has at most as many
+        numbers as there are symbols, however long its document is."""
+        lot = F.pmod(F.xxhash64("doc_id", "rid"), F.lit(1 << 40))
+        drawn = training.where(lot * float(documents) < float(1 << 40) * self.init_docs) if documents > self.init_docs else training
+
+        def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+            splits, symbol, share = profiles(_unpack(batch), symbols)
+            lists = [pa.ListArray.from_arrays(pa.array(splits.astype(np.int32)), pa.array(x)) for x in (symbol, share)]
+            return pa.RecordBatch.from_arrays([column(batch, "rid"), *lists], names=["rid", "symbol", "share"])
+
+        rows = map_batches(drawn.select("rid", "seq"), kernel, "rid long, symbol array<int>, share array<double>").orderBy("rid").limit(4 * self.init_docs).collect()
+        cells = np.zeros((len(rows), symbols), np.float32)
+        for i, r in enumerate(rows):
+            cells[i, r.symbol] = r.share
+        return farthest(cells, self.states)
+
     def most_frequent(self, counts: DataFrame) -> list:
-        """Words in order of count, at most `head` of them: the counts' histogram on a logarithmic scale gives the least
-        count, so that no task sends more than its share of the head to the driver."""
+        """The `head` most frequent words, of equal counts those with the smallest hashes: the counts' histogram on a logarithmic
+        scale says which steps fit whole, so that no task sends more than its share of the head to the driver."""
         step = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
-        room, least = self.head, None
+        room, least, rest = self.head, None, []
         for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step):
             if r.n > room:
+                rest = counts.where(step == r.step).orderBy(F.desc("c"), "w").limit(room).collect() if room else []
                 break
             room, least = room - r.n, r.step
-        return sorted(counts.where(step >= least).collect(), key=lambda r: (-r.c, r.w)) if least is not None else []
+        return sorted([*(counts.where(step >= least).collect() if least is not None else []), *rest], key=lambda r: (-r.c, r.w))
 
     def encode(self, rows: DataFrame, shared) -> DataFrame:
         """Per document: its symbols, the summed log10(c + 0.1) of head words (and of those that are symbols of their
@@ -264,23 +318,26 @@ class Scorer:
 
         return rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, counted double, own_counted double, within double, seq binary, tail array<long>")
 
-    def counted(self, encoded: DataFrame, model: Hmm) -> np.ndarray:
-        states, size = self.states, len(model.emit) + self.states + 1
+    def summed(self, encoded: DataFrame, count: Callable, model) -> tuple[np.ndarray, float]:
+        """The sums over all documents of count(model, sequences): a table of counts as that of expect(), and a number."""
+        states, size = self.states, (model if isinstance(model, np.ndarray) else model.emit).shape[0] + self.states + 1
         shared = self.spark.sparkContext.broadcast(model)
 
         def run(batches_):
-            total = np.zeros((size, states))
+            total = np.zeros((size + 1, states))
             for batch in batches_:
-                total += expect(shared.value, _unpack(batch))
+                counts, number = count(shared.value, _unpack(batch))
+                total[:size] += counts
+                total[size, 0] += number
             rows = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(total[rows, s]) for s in range(states))], names=["row", *(f"s{s}" for s in range(states))])
 
-        partial = encoded.mapInArrow(run, "row int, " + ", ".join(f"s{s} double" for s in range(states)))
-        out = np.zeros((size, states))
+        partial = encoded.select("seq").mapInArrow(run, "row int, " + ", ".join(f"s{s} double" for s in range(states)))
+        out = np.zeros((size + 1, states))
         for r in partial.groupBy("row").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).collect():
             out[r.row] = r[1:]
         shared.unpersist()
-        return out
+        return out[:size], float(out[size, 0])
 
     def score(self, encoded: DataFrame, counts: DataFrame, model: Hmm) -> DataFrame:
         shared = self.spark.sparkContext.broadcast(model)
@@ -324,7 +381,7 @@ def _by_document(s, values: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def score_documents(
-    spark: SparkSession, docs: DataFrame, *, head: int = 131_072, own: int = 8_192, states: int = 8, rounds: int = 2, init_docs: int = 256, init_rounds: int = 10
+    spark: SparkSession, docs: DataFrame, *, head: int = 131_072, own: int = 8_192, states: int = 8, rounds: int = 3, init_docs: int = 256, gain: float = 1e-3
 ) -> DataFrame:
     """Train on documents whose fold(doc_id, 10) is not 0 and score every document; columns as in Scorer.run."""
-    return Scorer(spark, head, own, states, rounds, init_docs, init_rounds).run(docs, fold("doc_id", 10) == 0)
+    return Scorer(spark, head, own, states, rounds, init_docs, gain).run(docs, fold("doc_id", 10) == 0)

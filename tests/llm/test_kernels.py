@@ -102,10 +102,18 @@ def test_baum_welch_does_not_lower_likelihood():
     rng = np.random.default_rng(5)
     seqs = [np.concatenate([rng.integers(0, 4, 20) + 4 * (k % 2)]).astype(np.int32) for k in range(20)]
     prior = np.full(8, 1e-6)
-    model = hmm.initial(seqs, 2, prior, 1)
+    splits, symbol, share = hmm.profiles(seqs, 8)
+    cells = np.zeros((len(seqs), 8))
+    cells[np.repeat(np.arange(len(seqs)), np.diff(splits)), symbol] = share
+    assert np.allclose((cells**2).sum(1), 1)
+    seeds = hmm.farthest(cells, 2)
+    assert len(set(hmm.nearest(seqs[::2], seeds).tolist())) == len(set(hmm.nearest(seqs[1::2], seeds).tolist())) == 1
+    model = hmm.begin(hmm.assigned(seqs, seeds), prior)
+    assert np.isclose(hmm.assigned(seqs, seeds).sum(), sum(map(len, seqs)))
     logs = []
     for _ in range(4):
         logs.append(sum(hmm.forward(model, b, a)[0].sum() for _, b, a in hmm.batches(seqs)))
+        assert np.isclose(hmm.expected(model, seqs)[1], logs[-1])
         model = hmm.maximise(hmm.expect(model, seqs), prior)
     assert all(b >= a - 0.5 for a, b in zip(logs, logs[1:]))
 

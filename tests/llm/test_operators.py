@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, chroma, decontaminate, factorization, hmm, quality, repair, setsketch, wrappers
+from quillspark.llm import bpe, chat, chroma, decontaminate, factorization, hmm, quality, repair, setsketch, words, wrappers
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, toxicity string"
@@ -35,7 +35,7 @@ EDGES = [(None, "no id"), (7, None), (8, ""), (9, " \n\t "), (10, "one"), (10, "
 
 def test_hmm_counts_and_base_score(spark):
     rows = [*EDGES, *((100 + i, t) for i, t in enumerate(some_texts(1, 60)))]
-    got = hmm.score_documents(spark, docs_of(spark, rows), head=50, own=20, states=3, rounds=1, init_docs=20, init_rounds=2).toPandas()
+    got = hmm.score_documents(spark, docs_of(spark, rows), head=50, own=20, states=3, rounds=1, init_docs=20).toPandas()
     assert len(got) == len(rows)
     key = lambda i: zlib.crc32(("" if i is None else str(i)).encode())
     tokens = lambda t: (t or "").encode().lower().split() + [None]
@@ -47,13 +47,54 @@ def test_hmm_counts_and_base_score(spark):
     assert np.isfinite(got.score).all() and (got.score < 0).all()
 
 
-def test_hmm_is_a_distribution_over_words(spark):
-    """Scores of all one-word documents and the unknown rest add up to what the model gives to texts of one word."""
-    rows = [(i, t) for i, t in enumerate(some_texts(2, 40, 12))]
-    empty = hmm.score_documents(spark, docs_of(spark, rows).where("false"), head=5, own=3, states=2, rounds=1, init_docs=5, init_rounds=1)
-    assert empty.count() == 0
-    got = hmm.score_documents(spark, docs_of(spark, rows), head=5, own=3, states=2, rounds=1, init_docs=5, init_rounds=1).toPandas()
-    assert (got.score / got.n_tokens).mean() > -3
+def test_hmm_scores_against_sums_over_state_paths(spark, monkeypatch):
+    """The model that the operator trained, applied by a plain recursion over words; each class gives its words, known and
+    not, probabilities that add up to one."""
+    rows = [*((i, t) for i, t in enumerate(some_texts(2, 60, 40))), (900, ""), (901, "zzzz never seen"), (902, None), (903, "x " * 400)]
+    spied, plain = {}, hmm.Scorer.score
+
+    def spy(self, encoded, counts, model):
+        spied.update(model=model, top=self.most_frequent(counts))
+        return plain(self, encoded, counts, model)
+
+    monkeypatch.setattr(hmm.Scorer, "score", spy)
+    arguments = {"head": 15, "own": 6, "states": 3, "rounds": 2, "init_docs": 30}
+    got = hmm.score_documents(spark, docs_of(spark, rows), **arguments).toPandas().set_index("doc_id").score
+    count = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in (t or "").lower().split())
+
+    def scanned(word):
+        (s,) = words.scan(pa.array([word]))
+        return int(s.hashes[0]), int(hmm.tails(s, np.array([0]))[0])
+
+    number = {int(np.int64(r.w).astype(np.uint64)): k for k, r in enumerate(spied["top"][:6])}
+    symbol = {w: number.get(scanned(w)[0], -1) for w in {*count, *"zzzz never seen x".split()}}
+    classes: dict = {}
+    for w, c in count.items():
+        if symbol[w] < 0:
+            total = classes.setdefault(scanned(w)[1], [0.0, 0])
+            total[0], total[1] = total[0] + c, total[1] + 1
+    within = lambda w: (count[w] + 0.1) / (classes.get(k := scanned(w)[1], [0.0, 0])[0] + 0.1 * (classes.get(k, [0, 0])[1] + 1))
+    for k, (total, distinct) in classes.items():
+        known = [w for w in count if symbol[w] < 0 and scanned(w)[1] == k]
+        assert len(known) == distinct and abs(sum(map(within, known)) + 0.1 / (total + 0.1 * (distinct + 1)) - 1) < 1e-9
+    m = spied["model"]
+    assert np.allclose([m.start.sum(), *m.move.sum(1), *m.emit.sum(0)], 1)
+    for i, t in rows:
+        state, log = m.start, 0.0
+        for k, w in enumerate([*(t or "").lower().split(), None]):
+            if k:
+                state = state @ m.move
+            own = w is None or symbol[w] >= 0
+            state = state * (m.emit[0] if w is None else m.emit[symbol[w] + 1] if own else m.emit[7 + scanned(w)[1]] * within(w))
+            log, state = log + math.log10(state.sum()), state / state.sum()
+        assert abs(log - got[i]) < 1e-6 * max(1, abs(log)), (i, log, got[i])
+    assert hmm.score_documents(spark, docs_of(spark, rows).where("false"), **arguments).count() == 0
+
+
+def test_head_is_filled_where_counts_tie(spark):
+    counts = spark.createDataFrame([(k, 3, 0) for k in range(50)] + [(100 + k, 9, 0) for k in range(4)], "w long, c long, bucket int")
+    for head, want in ((2, [100, 101]), (4, [100, 101, 102, 103]), (7, [100, 101, 102, 103, 0, 1, 2]), (90, [100, 101, 102, 103, *range(50)])):
+        assert [r.w for r in hmm.Scorer(spark, head, 1, 1, 1, 1, 0.0).most_frequent(counts)] == want
 
 
 def test_chat_against_sql(spark):
