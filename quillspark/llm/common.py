@@ -100,16 +100,14 @@ def held(kind: str, key: tuple, make: Callable[[], object]):
 
 
 def drop_held(but: str | None = None) -> None:
-    """Workers are used again by later stages: a task frees what tasks of other kinds kept, and gives the memory back."""
-    others = [key for key in _HELD if key[0] != but]
-    for key in others:
+    """Workers are used again by later tasks: a task frees what tasks of other kinds kept, and gives free memory back."""
+    for key in [key for key in _HELD if key[0] != but]:
         del _HELD[key]
-    if others:
-        gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, holds: str | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, column, discard, fold, map_batches, stage, text_of
+from .common import bound_batches, column, discard, drop_held, fold, map_batches, stage, text_of
 from .words import HashIndex, scan
 
 END = 0
@@ -184,6 +184,7 @@ class Scorer:
             # Sorted arrays of what this task has counted, merged when they grow: memory follows the task's vocabulary.
             parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             held = 0
+            drop_held()
 
             def merged():
                 w, c, b = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -196,10 +197,10 @@ class Scorer:
                         u, first, n = np.unique(s.hashes, return_index=True, return_counts=True)
                         parts.append((u, n, tails(s, first)))
                         held += len(u)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     parts = [merged()]
                     held = len(parts[0][0])
-                    if held > 1_500_000:
+                    if held > 750_000:
                         yield _counts(*parts[0])
                         parts, held = [], 0
             if parts:
@@ -287,6 +288,7 @@ class Scorer:
         def run(batches_):
             from pyspark import TaskContext
 
+            drop_held()
             if "index" not in cache:
                 words, seen, own, within = shared.value
                 cache.update(index=HashIndex(words), logs=np.log10(seen + 0.1), own=own, within=within)
@@ -324,6 +326,7 @@ class Scorer:
         shared = self.spark.sparkContext.broadcast(model)
 
         def run(batches_):
+            drop_held()
             total = np.zeros((size + 1, states))
             for batch in batches_:
                 counts, number = count(shared.value, _unpack(batch))
