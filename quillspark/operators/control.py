@@ -22,6 +22,46 @@ def orphans(documents: DataFrame, now: str | Column, minutes: int = 2) -> DataFr
     return documents.where(F.col("status").isin("uploaded", "enqueue_failed") & (F.col("upload_time").cast("timestamp") < now - F.expr(f"INTERVAL {int(minutes)} MINUTES")))
 
 
+def arrivals(listings: DataFrame, scan: str = "scan", path: str = "path") -> DataFrame:
+    """The (scan, path) rows of a watched folder's listings that are to be taken: what the scan before did not list. Names
+    that vanish are forgotten, so a file that comes back is taken again."""
+    rows = listings.select(scan, path).distinct()
+    before = F.lag(scan).over(Window.partitionBy(path).orderBy(scan))
+    return rows.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") < F.col(scan) - 1)).drop("before")
+
+
+def reprocess(documents: DataFrame, ids: DataFrame, key: str = "document_id") -> DataFrame:
+    """documents with status `uploaded` and no error for the ids that are asked for; what is persisted of them stays, so a
+    run does what is left to do unless it is told to do all again."""
+    asked = ids.select(key).distinct().withColumn("asked", F.lit(True))
+    joined = documents.join(asked, key, "left")
+    error = [F.when(F.col("asked").isNull(), F.col("error")).alias("error")] if "error" in documents.columns else []
+    rest = [c for c in documents.columns if c not in ("status", "error")]
+    return joined.select(*rest, F.when(F.col("asked").isNotNull(), "uploaded").otherwise(F.col("status")).alias("status"), *error)
+
+
+def stage_status(progress: DataFrame) -> DataFrame:
+    """progress with `status`, the place of each document in the pipeline. It has pages, prepared, recognised, failed and extracted
+    (numbers of pages), indexed (boolean) and flags (a number): uploaded, preprocessing, ocr_running, extracting, ocr_done or
+    ocr_partial, then needs_review or ready once indexed."""
+    c = lambda name: F.coalesce(F.col(name).cast("long"), F.lit(0))
+    status = (
+        F.when(F.coalesce(F.col("indexed"), F.lit(False)), F.when(c("flags") > 0, "needs_review").otherwise("ready"))
+        .when((c("prepared") == 0) | (c("pages") == 0), "uploaded")
+        .when(c("prepared") < c("pages"), "preprocessing")
+        .when(c("recognised") + c("failed") < c("pages"), "ocr_running")
+        .when(c("extracted") < c("recognised"), "extracting")
+        .otherwise(F.when(c("failed") > 0, "ocr_partial").otherwise("ocr_done"))
+    )
+    return progress.withColumn("status", status)
+
+
+def typed_words(words: DataFrame, text: str = "text", conf: str = "conf") -> DataFrame:
+    """The words of a recogniser's table that count: text that is not blank, and a confidence that is a number and not negative."""
+    value = F.col(conf).cast("string").try_cast("double")
+    return words.withColumn(conf, value).where((F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0) & F.col(conf).isNotNull() & (F.col(conf) >= 0) & ~F.isnan(conf))
+
+
 def parse_rate(rate: str) -> tuple[int, int]:
     """"60/minute" as (60, 60 seconds)."""
     count, _, unit = rate.partition("/")

@@ -819,6 +819,54 @@ register("denylist_active", denylist_active, """
 SELECT c_custkey AS signature FROM customer WHERE c_custkey NOT IN (
   SELECT user_id FROM events WHERE event_id % 5 = 0 GROUP BY user_id HAVING max(CAST(epoch(ts) AS BIGINT) + event_id % 1000) > epoch(TIMESTAMP '2024-01-15 00:00:00'))""")
 
+
+
+def watch_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return control.arrivals(e.select(F.floor(F.col("event_id") / 200).cast("long").alias("scan"), F.concat(F.lit("/in/"), F.col("user_id") % 50).alias("path")))
+
+
+register("watch_arrivals", watch_arrivals, """
+WITH l AS (SELECT DISTINCT CAST(event_id // 200 AS BIGINT) AS scan, '/in/' || (user_id % 50) AS path FROM events)
+SELECT scan, path FROM l WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.path = l.path AND b.scan = l.scan - 1)""")
+
+
+def reprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    docs = o.select(F.col("o_orderkey").alias("document_id"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("error"))
+    asked = read(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("document_id"))
+    return control.reprocess(docs, asked)
+
+
+register("reprocess", reprocess, """
+SELECT o_orderkey AS document_id, CASE WHEN asked THEN 'uploaded' ELSE o_orderstatus END AS status, CASE WHEN NOT asked AND o_orderkey % 3 = 0 THEN o_orderpriority END AS error
+FROM (SELECT *, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AS asked FROM orders)""")
+
+
+def stage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    numbers = p.select("p_partkey", (k % 4).alias("pages"), (k % 3).alias("prepared"), (k % 5).alias("recognised"), (k % 2).alias("failed"), (k % 7).alias("extracted"), (k % 11 == 0).alias("indexed"), (k % 13).alias("flags"))
+    return control.stage_status(numbers).select("p_partkey", "status")
+
+
+register("stage_status", stage_status, """
+SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 AND p_partkey % 13 = 0 THEN 'ready' WHEN p_partkey % 11 = 0 THEN 'needs_review' WHEN p_partkey % 12 IN (0, 3, 4, 6, 8, 9) THEN 'uploaded'
+  WHEN p_partkey % 3 < p_partkey % 4 THEN 'preprocessing' WHEN p_partkey % 5 + p_partkey % 2 < p_partkey % 4 THEN 'ocr_running' WHEN p_partkey % 7 < p_partkey % 5 THEN 'extracting'
+  WHEN p_partkey % 2 = 1 THEN 'ocr_partial' ELSE 'ocr_done' END AS status FROM part""")
+
+
+def typed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conf = F.when(F.col("l_partkey") % 7 == 0, F.lit("-1")).when(F.col("l_partkey") % 11 == 0, F.lit("n/a")).otherwise(F.col("l_quantity").cast("string"))
+    text = F.when(F.col("l_suppkey") % 5 == 0, F.lit("  ")).when(F.col("l_suppkey") % 9 > 0, F.col("l_returnflag"))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("text"), conf.alias("conf"))
+    return control.typed_words(rows)
+
+
+register("typed_words", typed_words, """
+SELECT l_orderkey, l_linenumber, l_returnflag AS text, CAST(l_quantity AS DOUBLE) AS conf FROM lineitem
+WHERE l_partkey % 7 <> 0 AND l_partkey % 11 <> 0 AND l_suppkey % 5 <> 0 AND l_suppkey % 9 <> 0""")
+
 # --- extraction ----------------------------------------------------------------------------------------------------
 
 

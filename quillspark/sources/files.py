@@ -30,7 +30,7 @@ def list_documents(spark: SparkSession, folder: str, most_bytes: int | None = No
 
 def is_pdf(content: Column) -> Column:
     """A PDF mark within the first 1024 bytes."""
-    return F.instr(F.hex(F.substring(content, 1, 1024)), "255044462D") % 2 == 1
+    return F.contains(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), F.lit("%PDF-"))
 
 
 def clean_name(path: Column) -> Column:

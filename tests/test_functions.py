@@ -268,3 +268,16 @@ def test_corrections_update_typed_columns(spark):
 def test_pounds_round_as_binary_values(spark):
     rows = spark.createDataFrame([("£3 12s 6d",), ("£3 25s",), ("none",)], "t string").select(X.pounds_text(X.pounds(F.col("t")).cast("struct<pounds:int,shillings:int,pence:int>")))
     assert [r[0] for r in rows.collect()] == ["GBP 3.62", None, None]
+
+
+def test_pdf_mark_at_any_byte(spark):
+    rows = [(b"%PDF-1.7",), (b"\x12%PDF-",), (b"\x02\x55\x04\x44\x62\xd0 %PDF-",), (b"x" * 1020 + b"%PDF-",), (b"x" * 1019 + b"%PDF-",), (b"\x02\x55\x04\x44\x62\xd0",), (b"",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "content binary").select(files.is_pdf(F.col("content"))).collect()]
+    assert got == [True, True, True, False, True, False, False, None]
+
+
+def test_words_and_listings_with_nulls(spark):
+    words = spark.createDataFrame([("a", "9.5"), (" ", "1"), (None, "1"), ("b", "-1"), ("c", "x"), ("d", None), ("e", "NaN"), ("f", "0")], "text string, conf string")
+    assert [(r.text, r.conf) for r in control.typed_words(words).collect()] == [("a", 9.5), ("f", 0.0)]
+    listings = spark.createDataFrame([(1, "p"), (1, "p"), (2, "p"), (4, "p"), (4, "q")], "scan long, path string")
+    assert sorted(map(tuple, control.arrivals(listings).collect())) == [(1, "p"), (4, "p"), (4, "q")]
