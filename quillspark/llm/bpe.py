@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from .common import column, held, map_batches, text_of
 from .words import SPACE, PieceTable, scan
 
-#: Matches of the pattern, transducer states and judged token pairs that a worker remembers before it starts afresh.
-MEMO_MATCHES, MAX_STATES, MAX_FITS = 60_000, 100_000, 400_000
+#: Matches of the pattern, transducer states, judged token pairs and pieces of text that a worker remembers before it starts afresh.
+MEMO_MATCHES, MAX_STATES, MAX_FITS, MAX_PIECES = 60_000, 80_000, 200_000, 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -175,7 +175,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine, self.pattern = Transducer(ranks), regex.compile(pattern)
         self.matches: dict[str, bytes] = {}
-        self.table = PieceTable(self._spaced)  # pieces by what follows their space
+        self.table = PieceTable(self._spaced, MAX_PIECES)  # pieces by what follows their space
         size = max(ranks.values()) + 1
         tokens = [self.machine.tokens.get(i, b"") for i in range(size)]
         self.lengths = np.array([len(t) for t in tokens], np.int64)
@@ -257,9 +257,12 @@ def encoder(path: str, pattern: str) -> Encoder:
     return held("bpe", (path, pattern), lambda: Encoder(load_ranks(path), pattern))
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, step: int = 1 << 16) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, step: int = 1 << 16, only: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, ids (little-endian unsigned 32-bit), n_tokens, decoded (text), and the hex SHA-256
-    of the ids and of the decoded bytes. Null text is empty text. Other columns of docs are ignored. No shuffle."""
+    of the ids and of the decoded bytes; with `only`, these columns alone leave the workers. Null text is empty text. Other
+    columns of docs are ignored. No shuffle."""
+    fields = {"doc_id": "long", "ids": "binary", "n_tokens": "long", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+    names = [n for n in fields if not only or n in only]
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = encoder(path, pattern)
@@ -271,12 +274,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, step: int = 1 << 16)
                 digest.update(part)
                 out.append(machine.feed(part))
             out.append(machine.finish())
-            rows.append((ids, len(ids) // 4, "".join(out), hashlib.sha256(ids).hexdigest(), digest.hexdigest()))
-        ids, n, decoded, a, b = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [column(batch, "doc_id"), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(decoded, pa.string()), pa.array(a), pa.array(b)],
-            names=["doc_id", "ids", "n_tokens", "decoded", "ids_sha256", "decoded_sha256"],
-        )
+            row = {"ids": ids, "n_tokens": len(ids) // 4, "decoded": "".join(out), "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": digest.hexdigest()}
+            rows.append(tuple(row[n] for n in names if n != "doc_id"))
+        made = dict(zip((n for n in names if n != "doc_id"), zip(*rows, strict=True), strict=True))
+        types = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+        return pa.RecordBatch.from_arrays([column(batch, n) if n == "doc_id" else pa.array(made[n], types[fields[n]]) for n in names], names=names)
 
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return map_batches(source, kernel, "doc_id long, ids binary, n_tokens long, decoded string, ids_sha256 string, decoded_sha256 string", holds="bpe")
+    return map_batches(source, kernel, ", ".join(f"{n} {fields[n]}" for n in names), holds="bpe")

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 #: Bytes of text a kernel looks at in one go, so that its arrays stay in the cache; longer documents are taken one at a time.
 CHUNK_BYTES = 1 << 17
 #: Bytes of an Arrow batch, at most (or one row): a worker's memory does not follow the length of its rows.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -43,8 +43,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, only=("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op9_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
