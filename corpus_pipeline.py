@@ -37,8 +37,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, and the digests of ids and decoded bytes."""
     import public_tokenizers
 
-    out = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return out.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_decode(docs, path, public_tokenizers.PATTERN, only=("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 
 STAGES = [
