@@ -5,18 +5,19 @@ the kind content or boilerplate from the elements around it: the article is the
 `main`, else an element whose class or id names content, else the body; menus, page headers, footers, asides, forms, adverts, notices,
 comments, scripts, styles and hidden parts are boilerplate, by tag, role, or class and id words.
 
-Inference. For each host with two pages or more, up to SAMPLE different pages (those with the smallest id hashes) are
-folded: a run of equal groups becomes a repeated group. The folded streams are aligned one after another with the wrapper
-so far; what only one side has becomes an optional group, repeated groups are aligned within, and texts become slots.
-A slot remembers how often its text was content by tags, and on which pages it held which text. The wrapper is compiled
-to a regular expression without alternatives, and its slots earn their kinds from the aligned pages: a slot that was
-content on all of them is content; texts that a slot holds on most pages are the host's template.
-
-Extraction. On a page that its host's wrapper matches, texts in content slots are content, as are those that the page's
-own tags call so, and texts that equal the template of their slot are not. Where tags name an article, a text is template
-only if all of STRONG pages or more have it; where they name none (the body is all there is), if most of WEAK pages or more do.
-Pages of one host may be copies of one article: a template that would take more than half of a page takes nothing. A page
-that no wrapper matches falls back to its own tags, so no page is lost.
+Inference. All different pages of a host take part, where it has two or more. A wrapper begins as one page, folded: a run of
+equal groups becomes a repeated group. Every stream of tags is held against it; one that it does not match is folded and
+aligned with it: what only one side has becomes an optional group, repeated groups are aligned within, and texts become
+slots. So the wrapper, a regular expression without alternatives, grows until it matches all pages. The streams of a host that
+has more than STREAMS are dealt into buckets, of which only the streams that made a wrapper grow go on to larger buckets; all are
+held against the result, and those it misses are taken again. Then every page is matched once more, and its texts are
+counted by slot: how many were content by tags, and how many pages held which text.
+
+Extraction. A slot that was content on all pages is content; texts that a slot holds on most pages are the host's template. On a
+page that its host's wrapper matches, texts in content slots are content, as are those that the page's own tags call so, and
+texts that equal a template in a slot that has one are not. Where tags name an article, a text is template only by STRONG;
+where they name none (the body is all there is), by WEAK. Pages of one host may be copies of one article: a template that would
+take more than half of a page takes nothing. A page that no wrapper matches falls back to its own tags, so no page is lost.
 
 Defined cases: null html is empty and has empty text; a null or unparsable url is the host ''; repeated rows are extracted
 each; empty input gives empty output. Other columns are ignored.
@@ -28,21 +29,22 @@ import html as entities
 import json
 import re
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 from difflib import SequenceMatcher
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, map_batches, stage
 
-SAMPLE = 16
-#: Pages that must have a text in the same place for it to be template: all of STRONG or more, or MOST of WEAK or more.
-STRONG, WEAK, MOST = 8, 3, 0.8
+#: Streams of one host that one task looks at, at first; where streams of all buckets still differ, twice as many in each further step.
+STREAMS = 1024
+#: A text is template if so many pages or more, this share of the host's pages or more, and this share of the pages that fill its slot have it there.
+STRONG, WEAK = (8, 8 / 16, 1.0), (3, 3 / 16, 0.8)
 #: Largest wrapper table, in bytes, that is broadcast; beyond it wrappers meet pages in a shuffle join.
 BROADCAST_BYTES = 32 << 20
 
@@ -227,26 +229,13 @@ class Page:
         return "\n\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
 
 
-@dataclass
-class Slot:
-    """A text's place: on how many texts and pages it was met, how many were content by tags, and the pages of each text."""
-
-    count: int
-    content: int
-    pages: frozenset[int]
-    texts: dict[int, frozenset[int]]
-
-    def join(self, other: "Slot") -> "Slot":
-        texts = {t: self.texts.get(t, frozenset()) | other.texts.get(t, frozenset()) for t in self.texts | other.texts}
-        return Slot(self.count + other.count, self.content + other.content, self.pages | other.pages, texts)
-
-    def template(self, least: int, share: float) -> list[int]:
-        return [t for t, pages in self.texts.items() if len(pages) >= least and len(pages) >= share * len(self.pages)] if self.content else []
+# Wrapper nodes: a tag is its string; a text is None; a group is [flag, nodes], flag "+", "*" or "?".
+def _single(node) -> bool:
+    return node is None or isinstance(node, str)
 
 
-# Wrapper nodes: a tag is its string; a text is a Slot; a group is [flag, nodes], flag "+", "*" or "?".
 def _shape(node):
-    return "T" if isinstance(node, Slot) else node if isinstance(node, str) else (node[0] == "+", tuple(map(_shape, node[1])))
+    return node if _single(node) else (node[0] == "+", tuple(map(_shape, node[1])))
 
 
 def fold(nodes: list, longest: int = 24) -> list:
@@ -259,7 +248,7 @@ def fold(nodes: list, longest: int = 24) -> list:
             j = i + period
             while len(group) == period and shapes[j : j + period] == group:
                 j += period
-            if j > i + period and not (period == 1 and (group[0] == "T" or isinstance(group[0], tuple))):
+            if j > i + period and not (period == 1 and not isinstance(group[0], str)):
                 body = [nodes[i + k] for k in range(period)]
                 for at in range(i + period, j, period):
                     body = [_join(a, b) for a, b in zip(body, nodes[at : at + period], strict=True)]
@@ -274,9 +263,7 @@ def fold(nodes: list, longest: int = 24) -> list:
 
 def _join(a, b):
     """One node for two of equal shape."""
-    if isinstance(a, Slot):
-        return a.join(b)
-    if isinstance(a, str):
+    if _single(a):
         return a
     return [a[0] if a[0] == b[0] else "*", [_join(x, y) for x, y in zip(a[1], b[1], strict=True)] if len(a[1]) == len(b[1]) else align(a[1], b[1])]
 
@@ -284,119 +271,261 @@ def _join(a, b):
 def align(wrapper: list, page: list) -> list:
     """Resolve mismatches between a wrapper and a folded page: what only one side has becomes optional; a repeated
     group against one with another body is aligned within."""
-    key = lambda n: "T" if isinstance(n, Slot) else n if isinstance(n, str) else ("group", _first(n))
+    key = lambda n: n if _single(n) else ("group", _first(n))
     a, b = [key(n) for n in wrapper], [key(n) for n in page]
     out = []
     for kind, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         if kind == "equal":
             for x, y in zip(wrapper[i:j], page[k:m], strict=True):
-                if isinstance(x, (str, Slot)):
-                    out.append(_join(x, y))
+                if _single(x):
+                    out.append(x)
                 else:
                     flag = x[0] if x[0] == y[0] else "*"
                     out.append([flag, [_join(p, q) for p, q in zip(x[1], y[1], strict=True)] if [*map(_shape, x[1])] == [*map(_shape, y[1])] else align(x[1], y[1])])
         else:
-            for side in (wrapper[i:j], page[k:m]):
-                if len(side) == 1 and not isinstance(side[0], (str, Slot)):
-                    out.append(["*" if side[0][0] in "+*" else "?", side[0][1]])
-                elif side:
-                    out.append(["?", side])
+            out += _optional(wrapper[i:j]) + _optional(page[k:m])
+    return out
+
+
+def _optional(side: list) -> list:
+    """Nodes that may be absent: each element that begins and ends here, and each other node, becomes a group of its own."""
+    out, i = [], 0
+    while i < len(side):
+        n, j = side[i], i
+        if not _single(n):
+            out.append(["*" if n[0] in "+*" else "?", n[1]])
+        else:
+            if n is not None and n[0] != "/":
+                name, depth = _name(n), 0
+                for at in range(i, len(side)):
+                    if isinstance(side[at], str) and _name(side[at]) == name:
+                        depth += -1 if side[at][0] == "/" else 1
+                        if not depth:
+                            j = at
+                            break
+            out.append(["?", side[i : j + 1]])
+        i = j + 1
     return out
 
 
-def _first(group) -> str:
-    while not isinstance(group, (str, Slot)):
-        group = group[1][0] if group[1] else "T"
-    return "T" if isinstance(group, Slot) else group
+def _name(tag: str) -> str:
+    return tag.partition(" ")[0].strip("/!")
+
+
+def _first(group) -> str | None:
+    while not _single(group):
+        group = group[1][0] if group[1] else None
+    return group
 
 
 def simplify(nodes: list) -> list:
-    """The same pages or more, in fewer groups: a group of one group becomes one, and a run of equal groups that may be
-    absent becomes one that may repeat."""
+    """The same pages or more, in fewer groups: a group of one group becomes one, and from one group that may be absent to
+    another that begins alike all become one that may repeat, in which each beginning is one group. So a wrapper does not grow
+    longer than its host has different elements, however their order varies."""
     out: list = []
+    run = 0  # where the groups that may be absent begin
     for n in nodes:
-        if not isinstance(n, (str, Slot)):
-            flag, body = n[0], simplify(n[1])
-            while len(body) == 1 and not isinstance(body[0], (str, Slot)):
-                flag, body = flag if flag == body[0][0] else "*", body[0][1]
-            n = [flag, body]
-            if out and not isinstance(out[-1], (str, Slot)) and [*map(_shape, out[-1][1])] == [*map(_shape, body)] and "+" not in (flag, out[-1][0]):
-                out[-1] = ["*", [_join(a, b) for a, b in zip(out[-1][1], body, strict=True)]]
-                continue
-        out.append(n)
+        if _single(n):
+            out.append(n)
+            run = len(out)
+            continue
+        flag, body = n[0], simplify(n[1])
+        while len(body) == 1 and not _single(body[0]):
+            flag, body = flag if flag == body[0][0] else "*", body[0][1]
+        out.append([flag, body])
+        if flag == "+":
+            run = len(out)
+            continue
+        begins = {_first(m) for m in _members(out[-1])}
+        for at in range(run, len(out) - 1):
+            if any(_first(m) in begins for m in _members(out[at])):
+                out[at:] = [_repeated([m for g in out[at:] for m in _members(g)])]
+                break
     return out
 
 
-def infer(pages: list[list]) -> list:
-    folded = [fold(p) for p in pages]
-    wrapper = folded[0]
-    for page in folded[1:]:
-        wrapper = simplify(align(wrapper, page))
-    return wrapper
+def _members(group: list) -> list:
+    """The groups that a repeated group of groups that may be absent consists of, else the group."""
+    return group[1] if group[0] == "*" and all(not _single(m) and m[0] != "+" for m in group[1]) else [group]
 
 
-def pattern(nodes: list) -> str:
-    """The wrapper over a page written as one word a token: tags in angle brackets, texts as T; content slots are named c,
-    slots that may hold template t, those that are both b."""
-    out = []
-    for n in nodes:
-        if isinstance(n, Slot):
-            content, template = n.content == n.count, bool(n.template(WEAK, MOST))
-            out.append(f"(?P<{'b' if content and template else 'c' if content else 't'}>T)" if content or template else "T")
-        elif isinstance(n, str):
-            out.append(re.escape(f"<{n}>"))
+def _repeated(groups: list) -> list:
+    """All sequences of these groups, those that begin alike aligned."""
+    found: dict = {}
+    for flag, body in groups:
+        if (begin := _first([flag, body])) in found:
+            other = found[begin]
+            same = [*map(_shape, other[1])] == [*map(_shape, body)]
+            found[begin] = [flag if flag == other[0] else "*", [_join(x, y) for x, y in zip(other[1], body, strict=True)] if same else simplify(align(other[1], body))]
         else:
-            out.append(f"(?:{pattern(n[1])}){n[0]}+")  # possessive: groups are taken as they come, in linear time
-    return "".join(out)
-
-
-def slots(nodes: list):
-    for n in nodes:
-        if isinstance(n, Slot):
-            yield n
-        elif not isinstance(n, str):
-            yield from slots(n[1])
+            found[begin] = [flag, body]
+    return ["*", next(iter(found.values()))[1] if len(found) == 1 else list(found.values())]
+
+
+def program(nodes: list) -> list:
+    """Steps that match a wrapper: a tag is its string, a slot its number, (first, second) a choice, None the end."""
+    steps: list = []
+    slots = 0
+
+    def put(body: list) -> None:
+        nonlocal slots
+        for n in body:
+            if n is None:
+                steps.append(slots)
+                slots += 1
+            elif isinstance(n, str):
+                steps.append(n)
+            else:
+                begin = len(steps)
+                if n[0] != "+":
+                    steps.append(None)
+                put(n[1])
+                if n[0] == "+":
+                    steps.append((begin, len(steps) + 1))
+                else:
+                    if n[0] == "*":
+                        steps.append((begin, begin))
+                    steps[begin] = (begin + 1, len(steps))
+
+    put(nodes)
+    steps.append(None)
+    return steps
+
+
+def places(steps: list, tags: list) -> list[int] | None:
+    """The slots of a page's texts, None if the wrapper does not match it: the first way to match that repeats and fills groups
+    where it can. No choice is tried twice at one place, so time is at most the steps times the tags."""
+    n, seen, held = len(tags), set(), []
+    left = [(0, 0, 0)]
+    while left:
+        step, at, size = left.pop()
+        del held[size:]
+        while True:
+            s = steps[step]
+            if isinstance(s, tuple):
+                tried = step * (n + 1) + at
+                if tried in seen:
+                    break
+                seen.add(tried)
+                left.append((s[1], at, len(held)))
+                step = s[0]
+            elif s is None:
+                if at == n:
+                    return held
+                break
+            elif at == n or tags[at] != (s if isinstance(s, str) else None):
+                break
+            else:
+                if tags[at] is None:
+                    held.append(s)
+                step, at = step + 1, at + 1
+    return None
 
 
-def compiled(nodes: list) -> str:
-    """A wrapper as text: its pattern and the template's texts, those that all pages have and those that most have."""
-    found = list(slots(nodes))
-    return json.dumps([pattern(nodes), sorted({t for n in found for t in n.template(STRONG, 1.0)}), sorted({t for n in found for t in n.template(WEAK, MOST)})])
+def grow(wrapper: list | None, streams: Iterable[list]) -> tuple[list | None, list[int]]:
+    """A wrapper that matches what it matched and all streams, and the numbers of the streams that made it grow."""
+    steps, grown = None if wrapper is None else program(wrapper), []
+    for number, tags in enumerate(streams):
+        if steps is not None and places(steps, tags) is not None:
+            continue
+        page = fold(tags)
+        wrapper = page if wrapper is None else simplify(align(wrapper, page))
+        steps = program(wrapper)
+        grown.append(number)
+    return wrapper, grown
 
 
 def text_hash(source: str) -> int:
     return zlib.crc32(" ".join(source.split()).encode())
 
 
-def stream(page: Page, number: int = 0) -> list:
-    texts = zip(page.kinds, page.texts, strict=True)
-    return [Slot(1, int((x := next(texts))[0]), frozenset((number,)), {text_hash(x[1]): frozenset((number,))}) if t is None else t for t in page.tags]
+@dataclass
+class Stream:
+    """What inference knows of a page: its tags with None for texts, and of the texts whether they are content by tags, and hashes."""
+
+    number: int
+    tags: list[str | None]
+    kinds: list[bool]
+    hashes: list[int]
+
+
+def stream(page: Page, number: int = 0) -> Stream:
+    return Stream(number, page.tags, page.kinds, [text_hash(x) for x in page.texts])
+
+
+class Tally:
+    """Counts of pages and texts by slot; a page's numbers are [pages, texts, texts that are content by tags]."""
+
+    def __init__(self):
+        self.pages = 0
+        self.slots: dict[int, list[int]] = {}
+        self.texts: dict[tuple[int, int], int] = {}  # pages by slot and text
+
+    def add(self, held: list[int], kinds: list[bool], hashes: list[int]) -> None:
+        self.pages += 1
+        for slot, content in zip(held, kinds, strict=True):
+            counts = self.slots.setdefault(slot, [0, 0, 0])
+            counts[1] += 1
+            counts[2] += content
+        for slot in set(held):
+            self.slots[slot][0] += 1
+        for key in set(zip(held, hashes, strict=True)):
+            self.texts[key] = self.texts.get(key, 0) + 1
+
+    def templates(self, rule: tuple[int, float, float]) -> set[tuple[int, int]]:
+        least, host, slot = rule
+        return {key for key, n in self.texts.items() if self.slots[key[0]][2] and n >= max(least, host * self.pages, slot * self.slots[key[0]][0])}
+
+
+def infer(pages: list[Stream]) -> tuple[list, Tally]:
+    """The wrapper of all pages, and their counts by its slots."""
+    wrapper, _ = grow(None, (p.tags for p in pages))
+    steps, tally = program(wrapper), Tally()
+    for p in pages:
+        tally.add(places(steps, p.tags), p.kinds, p.hashes)
+    return wrapper, tally
+
+
+def compiled(found: tuple[list, Tally]) -> str:
+    wrapper, tally = found
+    strong, weak = tally.templates(STRONG), tally.templates(WEAK)
+    return written(wrapper, {k for k, c in tally.slots.items() if c[1] == c[2]}, {k for k, _ in weak}, {t for _, t in strong}, {t for _, t in weak})
+
+
+def written(wrapper: list, content: Iterable[int], template: Iterable[int], always: Iterable[int], mostly: Iterable[int]) -> str:
+    """A wrapper as text: its nodes, the slots that are content and those that may hold template, and the template's texts by STRONG and by WEAK."""
+    return json.dumps([wrapper, sorted(content), sorted(template), sorted(always), sorted(mostly)], separators=(",", ":"))
 
 
 @lru_cache(maxsize=4096)
 def _loaded(wrapper: str):
-    source, always, mostly = json.loads(wrapper)
-    return regex.compile(source), frozenset(always), frozenset(mostly)
+    nodes, *sets = json.loads(wrapper)
+    return program(nodes), *map(frozenset, sets)
+
+
+def _line(tags: list[str | None]) -> str:
+    return "\x1f".join("T" if t is None else t for t in tags)
+
+
+def _tags(line: str) -> list[str | None]:
+    return [None if t == "T" else t for t in line.split("\x1f")] if line else []
+
+
+@lru_cache(maxsize=1024)
+def _places(wrapper: str, line: str) -> list[int] | None:
+    """`places` of a page written as one line, by a wrapper as text; many pages of a host have the same tags."""
+    return places(_loaded(wrapper)[0], _tags(line))
 
 
 def extract(page: Page, wrapper: str | None) -> tuple[str, bool]:
     """The main text, and whether the wrapper matched."""
-    if wrapper is None:
+    held = None if wrapper is None else _places(wrapper, _line(page.tags))
+    if held is None:
         return page.text(page.kinds), False
-    compiled_, always, mostly = _loaded(wrapper)
-    m = compiled_.fullmatch("".join("T" if t is None else f"<{t}>" for t in page.tags))
-    if m is None:
-        return page.text(page.kinds), False
-    places = {name: {at for at, _ in m.spans(name)} if name in m.re.groupindex else set() for name in "ctb"}
-    at, content, template = 0, [], []
-    for t in page.tags:
-        if t is None:
-            content.append(at in places["c"] or at in places["b"])
-            template.append(at in places["t"] or at in places["b"])
-        at += 1 if t is None else len(t) + 2
-    kinds = [a or b for a, b in zip(content, page.kinds, strict=True)]
+    _, content, template, always, mostly = _loaded(wrapper)
+    kinds = [slot in content or k for slot, k in zip(held, page.kinds, strict=True)]
     known = always if page.strong else mostly
-    left = [k and not (held and text_hash(x) in known) for k, held, x in zip(kinds, template, page.texts, strict=True)]
+    left = [k and not (slot in template and text_hash(x) in known) for k, slot, x in zip(kinds, held, page.texts, strict=True)]
     size = lambda which: sum(len(x) for x, k in zip(page.texts, which, strict=True) if k)
     return page.text(left if 2 * size(left) >= size(kinds) else kinds), True
 
@@ -405,51 +534,124 @@ def host_of(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper): one regular expression for each host, inferred from at most `sample` of its pages."""
+def streams_of(pages: DataFrame) -> DataFrame:
+    """(host, h, tags, texts) of every different page: its tags in one line, and of each text its hash times two, one more if it is content by tags."""
 
-    def skeleton(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = []
-        for h in column(batch, "html").to_pylist():
-            page = Page(h)
-            texts = zip(page.kinds, page.texts, strict=True)
-            found.append("\x1f".join(f"{int((x := next(texts))[0])}{text_hash(x[1])}" if t is None else t for t in page.tags))
-        return pa.RecordBatch.from_arrays([column(batch, "host"), column(batch, "h"), pa.array(found, pa.string())], names=["host", "h", "skeleton"])
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        read = [stream(Page(h)) for h in column(batch, "html").to_pylist()]
+        texts = [[2 * h + k for h, k in zip(s.hashes, s.kinds, strict=True)] for s in read]
+        return pa.RecordBatch.from_arrays(
+            [column(batch, "host"), column(batch, "h"), pa.array([_line(s.tags) for s in read], pa.string()), pa.array(texts, pa.list_(pa.int64()))], names=["host", "h", "tags", "texts"]
+        )
 
     # Copies of a page show no template: pages with the same html count once.
     chosen = pages.select("host", "html", F.xxhash64("html").alias("h"))
-    rows = map_batches(chosen, skeleton, "host string, h long, skeleton string").groupBy("host", "h").agg(F.min("skeleton").alias("skeleton"))
-    best = Window.partitionBy("host").orderBy("h", "skeleton")
-    rows = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= sample).drop("rank")
+    return map_batches(chosen, kernel, "host string, h long, tags string, texts array<long>").distinct()
+
+
+def _matching(spark: SparkSession, frame: DataFrame, found: DataFrame):
+    """The frame, joined with the wrappers of its hosts if these are too large to broadcast, and what gives a batch's wrappers."""
+    if found.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0] > BROADCAST_BYTES:
+        return frame.join(found, "host", "left"), lambda batch: column(batch, "wrapper").to_pylist()
+    shared = spark.sparkContext.broadcast({r.host: r.wrapper for r in found.collect()})
+    return frame, lambda batch: [shared.value.get(h) for h in column(batch, "host").to_pylist()]
+
+
+def grown(spark: SparkSession, streams: DataFrame, width: int | None = None) -> DataFrame:
+    """(host, wrapper): for each host of (host, tags) a wrapper, without counts, that matches all its streams."""
+
+    def widen(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["order", "tags"])
+        begun = group["wrapper"].iloc[0]
+        wrapper, numbers = grow(None if begun is None else json.loads(begun)[0], map(_tags, group["tags"]))
+        if group["last"].iloc[0]:
+            return pd.DataFrame({"host": group["host"].iloc[:1], "wrapper": [written(wrapper, (), (), (), ())], "tags": [None]})
+        return pd.DataFrame({"host": group["host"].iloc[0], "wrapper": None, "tags": group["tags"].iloc[numbers]}, columns=["host", "wrapper", "tags"])
+
+    found, left = None, streams
+    while True:
+        size, parts, divided = width or STREAMS, [], None
+        while True:
+            large = stage(spark, left.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > size), "large")
+            dealt = left.join(F.broadcast(large), "host", "left").withColumn("order", F.xxhash64("tags")).withColumn("last", F.col("n").isNull())
+            dealt = dealt.withColumn("bucket", F.when(F.col("last"), 0).otherwise(F.pmod(F.xxhash64("order"), F.ceil(F.col("n") / size))).cast("long")).drop("n")
+            dealt = dealt.withColumn("wrapper", F.lit(None).cast("string")) if found is None else dealt.join(found, "host", "left")
+            out = stage(spark, dealt.groupBy("host", "bucket").applyInPandas(widen, "host string, wrapper string, tags string"), "grown")
+            parts.append(out.where("wrapper is not null").select("host", "wrapper"))
+            divided = divided or large
+            if large.isEmpty():
+                break
+            left, size = out.where("wrapper is null").select("host", "tags"), 2 * size
+        new = reduce(DataFrame.unionAll, parts)
+        found = new if found is None else stage(spark, new.unionAll(found.join(new, "host", "left_anti")), "wrappers")
+        if divided.isEmpty():
+            return found  # one task saw all streams of a host
+        frame, wrappers_of = _matching(spark, streams.join(F.broadcast(divided.select("host")), "host", "left_semi"), found)
 
-    def induce(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["h", "skeleton"])
-        streams = []
-        for number, skeleton_ in enumerate(group["skeleton"]):
-            tokens = (n for n in skeleton_.split("\x1f") if n)
-            streams.append([Slot(1, int(n[0]), frozenset((number,)), {int(n[1:]): frozenset((number,))}) if n[0] in "01" else n for n in tokens])
-        # One page shows no template: there is nothing to align it with.
-        return pd.DataFrame({"host": group["host"].iloc[:1], "wrapper": [compiled(infer(streams)) if len(streams) > 1 else None]})
+        def missed(batch: pa.RecordBatch) -> pa.RecordBatch:
+            lines = column(batch, "tags").to_pylist()
+            return batch.select(["host", "tags"]).filter(pa.array([places(_loaded(w)[0], _tags(x)) is None for w, x in zip(wrappers_of(batch), lines, strict=True)]))  # noqa: B023
+
+        left = stage(spark, map_batches(frame, missed, "host string, tags string"), "missed")
+        if left.isEmpty():
+            return found
+
+
+def counted(spark: SparkSession, pages: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, slot, text, pages, texts, content): all pages of `streams_of` counted by the slots of their hosts' wrappers. Rows without a text
+    are of whole slots, and of the host if they have no slot either; texts are there if WEAK pages or more have them."""
+    frame, wrappers_of = _matching(spark, pages, found)
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tallies: dict[str, Tally] = {}
+        columns = [column(batch, name).to_pylist() for name in ("host", "tags", "texts")]
+        for host, line, texts, wrapper in zip(*columns, wrappers_of(batch), strict=True):
+            tallies.setdefault(host, Tally()).add(_places(wrapper, line), [bool(t & 1) for t in texts], [t >> 1 for t in texts])
+        rows = [(host, None, None, t.pages, 0, 0) for host, t in tallies.items()]
+        rows += [(host, slot, None, *counts) for host, t in tallies.items() for slot, counts in t.slots.items()]
+        rows += [(host, slot, text, n, 0, 0) for host, t in tallies.items() for (slot, text), n in t.texts.items()]
+        types = [pa.string(), *[pa.int64()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["host", "slot", "text", "pages", "texts", "content"])
+
+    partial = map_batches(frame, kernel, "host string, slot long, text long, pages long, texts long, content long")
+    sums = partial.groupBy("host", "slot", "text").agg(*(F.sum(c).alias(c) for c in ("pages", "texts", "content")))
+    return sums.where((F.col("text").isNull()) | (F.col("pages") >= WEAK[0]))
+
+
+def wrappers(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """(host, wrapper): one regular expression for each host of two different pages or more, inferred from all of them."""
+    source = stage(spark, streams_of(pages), "streams")
+    found = grown(spark, stage(spark, source.select("host", "tags").distinct(), "tags"))
+    counts = stage(spark, counted(spark, source, found), "counts")
+    # One page shows no template: there is nothing to align it with.
+    hosts = counts.where("slot is null").where("pages > 1").select("host", F.col("pages").alias("n"))
+    slots = counts.where("slot is not null and text is null").select("host", "slot", F.col("pages").alias("filled"), "texts", "content")
+    rule = lambda least, host, slot: F.col("pages") >= F.greatest(F.lit(float(least)), host * F.col("n"), slot * F.col("filled"))
+    often = counts.where("text is not null").select("host", "slot", "text", "pages").join(hosts, "host").where(F.col("pages") >= WEAK[1] * F.col("n"))
+    template = often.join(slots.where("content > 0").select("host", "slot", "filled"), ["host", "slot"]).where(rule(*WEAK)).withColumn("strong", rule(*STRONG))
+    template = template.groupBy("host").agg(F.collect_set("slot").alias("template"), F.collect_set(F.when(F.col("strong"), F.col("text"))).alias("always"), F.collect_set("text").alias("mostly"))
+    content = slots.groupBy("host").agg(F.collect_set(F.when(F.col("content") == F.col("texts"), F.col("slot"))).alias("content"))
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [column(batch, name).to_pylist() for name in ("wrapper", "content", "template", "always", "mostly")]
+        done = [written(json.loads(w)[0], *(x or () for x in sets)) for w, *sets in zip(*columns, strict=True)]
+        return pa.RecordBatch.from_arrays([column(batch, "host"), pa.array(done, pa.string())], names=["host", "wrapper"])
 
-    return rows.groupBy("host").applyInPandas(induce, "host string, wrapper string")
+    return map_batches(found.join(hosts.select("host"), "host").join(content, "host", "left").join(template, "host", "left"), kernel, "host string, wrapper string")
 
 
-def main_text(spark: SparkSession, pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def main_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, matched for every page."""
     source = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
     source = source.withColumn("host", host_of())
-    found = stage(spark, wrappers(source, sample).where("wrapper is not null"), "wrappers")
-    small = found.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0] <= BROADCAST_BYTES
-    shared = spark.sparkContext.broadcast({r.host: r.wrapper for r in found.collect()}) if small else None
+    joined, wrappers_of = _matching(spark, source, stage(spark, wrappers(spark, source), "wrappers"))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        wrapper = column(batch, "wrapper").to_pylist() if shared is None else [shared.value.get(h) for h in column(batch, "host").to_pylist()]
-        out = [extract(Page(h), w) for h, w in zip(column(batch, "html").to_pylist(), wrapper, strict=True)]
+        out = [extract(Page(h), w) for h, w in zip(column(batch, "html").to_pylist(), wrappers_of(batch), strict=True)]
         texts = [t for t, _ in out]
         return pa.RecordBatch.from_arrays(
             [column(batch, "page_id"), column(batch, "url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([m for _, m in out])],
             names=["page_id", "url", "text", "n_chars", "matched"],
         )
 
-    joined = source if small else source.join(found, "host", "left")
     return map_batches(joined, kernel, "page_id long, url string, text string, n_chars long, matched boolean")

@@ -312,6 +312,31 @@ def test_template_spares_other_texts_and_copies():
     assert pages[0][1] in wrappers.extract(wrappers.Page(same[1]), wrapper)[0]
 
 
+def blocks(rng, most):
+    out = []
+    for _ in range(rng.randint(1, most)):
+        kind = rng.randrange(8)
+        body = [None] if kind < 5 else ["li", None, "/li"] * rng.randint(1, 4) if kind == 5 else [None, "b", None, "/b", None] if kind == 6 else ["br", *blocks(rng, 3)]
+        out += [f"e{kind}", *body, f"/e{kind}"]
+    return out
+
+
+def test_wrapper_matches_every_page_it_grew_over_and_stays_small():
+    rng = random.Random(34)
+    pages = [blocks(rng, 30) for _ in range(400)]
+    wrapper, grown = wrappers.grow(None, pages)
+    steps = wrappers.program(wrapper)
+    held = [wrappers.places(steps, p) for p in pages]
+    assert all(h is not None and len(h) == p.count(None) for h, p in zip(held, pages, strict=True))
+    assert len(grown) < 40 and len(steps) < 600
+    more = [blocks(rng, 30) for _ in range(100)]
+    wider, _ = wrappers.grow(wrapper, more)
+    steps = wrappers.program(wider)
+    assert all(wrappers.places(steps, p) is not None for p in pages + more)
+    assert wrappers.places(wrappers.program([["*", [["?", ["a"]], ["*", ["b"]]]], "c"]), ["a", "b"] * 500) is None  # in time
+    assert wrappers.places(wrappers.program([["*", ["p"]], "p", None]), ["p", "p", None]) == [0]
+
+
 def test_article_passages_stay_whatever_their_ids_and_boilerplate_goes():
     source = (
         "<main><article><h2 id='related-work'>Related</h2><p>one</p><section id='discussion'><p id='social-effects'>two <math><mi>x</mi></math></p></section>"

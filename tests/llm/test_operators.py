@@ -1,6 +1,7 @@
 """Operators over small Spark tables against brute force, with the cases that each must define."""
 
 import hashlib
+import json
 import math
 import random
 import zlib
@@ -130,6 +131,41 @@ def test_wrappers_join_when_they_are_too_many_to_broadcast(spark, monkeypatch):
     assert sorted(r.text for r in wrappers.main_text(spark, frame).collect()) == sorted(f"text {k}" for k in range(12))
 
 
+def layouts(rng, pages, rare):
+    """Pages of one host whose tags say nothing, a few of each of `rare` layouts, and their articles."""
+    said = lambda k: f"{k} " + " ".join(rng.choice(["ore", "lind", "tam", "vess"]) for _ in range(rng.randint(8, 30)))
+    for k in range(pages):
+        parts = [said(k) for _ in range(rng.randint(3, 6))]
+        own = f"<h{2 + k % 5}>{parts[1]}</h{2 + k % 5}><table><tr>" + f"<td>{parts[2]}</td>" * (1 + k // 5) + "</tr></table><dl></dl>" * (k % 3) if k < rare else f"<p>{parts[1]}</p><p>{parts[2]}</p>"
+        html = f"<body><div>All rights kept</div><div class='k3'><i>{parts[0]}</i>{own}" + "".join(f"<p>{x}</p>" for x in parts[3:]) + "</div><div>Terms of use</div></body>"
+        yield k, "http://one.example/", html
+
+
+@pytest.mark.parametrize("streams", [None, 3])
+def test_all_pages_of_a_host_give_its_wrapper(spark, monkeypatch, streams):
+    if streams:
+        monkeypatch.setattr(wrappers, "STREAMS", streams)
+    rows = list(layouts(random.Random(33), 120, 15))
+    frame = spark.createDataFrame(rows + rows[:5], "page_id long, url string, html string")
+    got = wrappers.main_text(spark, frame).toPandas()
+    assert len(got) == 125 and got.matched.all()
+    assert not got.text.str.contains("All rights kept|Terms of use").any()
+    # The counts of the wrapper are those of all different pages.
+    ((_, wrapper),) = wrappers.wrappers(spark, frame.withColumn("host", wrappers.host_of())).collect()
+    nodes, tally = json.loads(wrapper)[0], wrappers.Tally()
+    for _, _, html in rows:
+        page = wrappers.stream(wrappers.Page(html))
+        tally.add(wrappers.places(wrappers.program(nodes), page.tags), page.kinds, page.hashes)
+    assert tally.pages == 120 and wrappers.compiled((nodes, tally)) == wrapper
+
+
+def test_template_is_judged_by_all_pages_of_a_host(spark):
+    line = lambda k: f"By the writer {k}" if k in (31, 150) else "By the desk"
+    rows = [(k, f"http://one.example/{k}", f"<article><h1>Title {k}</h1><p>{line(k)}</p><p>Some words of {k}, and more of them</p></article>") for k in range(200)]
+    got = wrappers.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text.split("\n\n")[1] == line(r.page_id) for r in got) and len(got) == 200  # not all pages have it
+
+
 def toxic_rows():
     rng = random.Random(5)
     rows, labels = [], []
