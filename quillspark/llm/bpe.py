@@ -1,10 +1,12 @@
 """Byte-level BPE by a lazily determinised transducer, and a streaming decoder.
 
-The transducer reads bytes. After a prefix, the canonical encoding of that prefix has one last token for each cut
-position; a later token can only start at a cut that lies inside the longest suffix that begins some token. A state is
-that suffix, the pending token chains of its live cuts and the last token given out. The tokens that all live chains
-share can never change, so they are emitted: lookahead is bounded by the longest token. States and arcs are made when
-first met and kept in a table of bounded size.
+The transducer reads bytes and gives for each the last token of the canonical encoding of what was read: the longest one
+that fits the last token of the encoding before it. The encoding of a whole piece is read off from its end. A later token
+can only start at a live cut, one behind which some token begins with the bytes read since and fits what is before the cut.
+A state is the bytes from the first live cut on, the live cuts, and for each the token before it; tokens that the same few
+later tokens fit count as one, so that most states are met again. The tokens that all live cuts share can never change, so
+a stream emits them: lookahead is bounded by the longest token. States and arcs are made when first met and kept in tables
+of bounded size.
 """
 
 from __future__ import annotations
@@ -12,8 +14,10 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import os
 import re
 import struct
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +30,8 @@ from .words import SPACE, PieceTable, scan
 
 #: Matches of the pattern, transducer states, judged token pairs and pieces of text that a worker remembers before it starts afresh.
 MEMO_MATCHES, MAX_STATES, MAX_FITS, MAX_PIECES = 60_000, 80_000, 200_000, 1_000_000
+#: Left neighbours are told apart by what fits them where so few tokens can follow, else by name; the left neighbour of the first token.
+FEW, START = 32, -1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,23 +43,27 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {v: k for k, v in ranks.items()}
-        self.starts = {k[:i] for k in ranks for i in range(1, len(k) + 1)}
-        self.fits: dict[tuple[int | None, int], bool] = {}
+        self.sizes = {v: len(k) for k, v in ranks.items()}
+        self.order, self.beyond = sorted(ranks), b"\xff" * max(self.sizes.values())
+        self.fits: dict[tuple[int, int], bool] = {}
         self.splits: dict[int, tuple[int, int] | None] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._state((b"", ((),), None))
+        self.states: list[tuple[bytes, tuple[int, ...], tuple[int, ...]]] = []
+        self.newest: list[int] = []  # of each state the last token of what was read
+        self.arcs: dict[int, int] = {}  # state | byte to state; states are numbered in steps of 256
+        self.stands: dict[tuple[int, bytes], int | None] = {}
+        self.classes: dict[int, int] = {}
+        self._state((b"", (0,), (START,)))
 
     def _state(self, key: tuple) -> int:
         got = self.ids.get(key)
         if got is None:
-            got = self.ids[key] = len(self.states)
+            got = self.ids[key] = len(self.states) << 8
             self.states.append(key)
-            self.arcs.append({})
+            self.newest.append(key[2][-1])
         return got
 
     def _parts(self, piece: bytes, least: int = 1) -> list[bytes]:
@@ -77,12 +87,12 @@ class Transducer:
             got = self.splits[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
         return got
 
-    def _fit(self, left: int | None, right: int) -> bool:
+    def _fit(self, left: int, right: int) -> bool:
         """Whether the encoding of both tokens' bytes together is just these tokens. Both are undone merge by merge, the
         later one first: they fit if no two tokens that ever meet at the boundary would have merged before."""
         got = self.fits.get((left, right))
         if got is None:
-            if left is None:
+            if left == START:
                 got = self.merge(self.tokens[right]) == [right]
             else:
                 got, a, b, bound, tokens, ranks = None, left, right, 1 << 60, self.tokens, self.ranks
@@ -102,67 +112,83 @@ class Transducer:
             self.fits[left, right] = got
         return got
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        tail, chains, last = self.states[state]
+    def _stand(self, left: int, begun: bytes) -> int | None:
+        """The token that stands for `left` before a token that begins with these bytes and goes on: the first one met that
+        the same such tokens fit. None if none fits, so that no token can start at this cut any more."""
+        got = self.stands.get((left, begun), START - 1)
+        if got == START - 1:
+            first, end = bisect_right(self.order, begun), bisect_right(self.order, begun + self.beyond)
+            if end - first > FEW:
+                got = left
+            else:
+                fitting = 0
+                for t in self.order[first:end]:
+                    fitting = fitting << 1 | self._fit(left, self.ranks[t])
+                # Which tokens they are, how many, and which of them fit, in one number.
+                got = self.classes.setdefault(((first << 32) + end) << FEW | fitting, left) if fitting else None
+            if len(self.stands) >= MAX_FITS:
+                self.stands.clear()
+                self.classes.clear()
+            self.stands[left, begun] = got
+        return got
+
+    def _step(self, state: int, byte: int) -> int:
+        tail, cuts, lefts = self.states[state >> 8]
         text = tail + bytes((byte,))
-        chain, ranks, fits = None, self.ranks, self.fits
-        for cut in range(len(text)):
+        ranks, fits, stands = self.ranks, self.fits, self.stands
+        for cut, left in zip(cuts, lefts):
             token = ranks.get(text[cut:])
             if token is not None:
-                left = chains[cut][-1] if chains[cut] else last
                 fit = fits.get((left, token))
                 if fit or fit is None and self._fit(left, token):
-                    chain = (*chains[cut], token)
                     break
-        if chain is None:
+        else:
             raise ValueError("the ranks have no token for a byte, or tokens that merges do not reach")
-        drop, n, starts = 0, len(text), self.starts
-        while drop < n and text[drop:] not in starts:
-            drop += 1
-        live = (*chains[drop:], chain)
-        first, out = live[0], ()
-        if first:
-            head = first[0]
-            for c in live:
-                if not c or c[0] != head:
-                    break
-            else:
-                shared = min(map(len, live))
-                for k in range(1, shared):
-                    if any(c[k] != first[k] for c in live):
-                        shared = k
-                        break
-                out = first[:shared]
-                live, last = tuple([c[shared:] for c in live]), out[-1]
-        open_ = () in live
-        # `last` is None before the first token; it does not matter where every live cut has a pending token.
-        nxt = (text[drop:], live, last if open_ else -1)
-        arc = (self._state(nxt), out)
-        self.arcs[state][byte] = arc
+        live, kept = [], []
+        for cut, left in zip(cuts, lefts):
+            begun = text[cut:]
+            stand = stands[left, begun] if (left, begun) in stands else self._stand(left, begun)
+            if stand is not None:
+                live.append(cut)
+                kept.append(stand)
+        drop = live[0] if live else len(text)
+        live.append(len(text))
+        kept.append(token)
+        arc = self.arcs[state | byte] = self._state((text[drop:], tuple([c - drop for c in live]), tuple(kept)))
         return arc
 
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+    def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
-            return (whole,)
+            return [whole]
         if len(self.states) > self.max_states:
             self._clear()
-        state, out, arcs = 0, (), self.arcs
+        state, met, get, step = 0, [], self.arcs.get, self._step
         for byte in piece:
-            arc = arcs[state].get(byte) or self._step(state, byte)
-            state = arc[0]
-            if arc[1]:
-                out += arc[1]
-        return out + self.states[state][1][-1]
+            state = get(state | byte) or step(state, byte)
+            met.append(state)
+        out, at, sizes, newest = [], len(met), self.sizes, self.newest
+        while at:
+            out.append(token := newest[met[at - 1] >> 8])
+            at -= sizes[token]
+        out.reverse()
+        return out
 
     def stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
         """Tokens of one pre-token that arrives in parts, each as soon as no later byte can change it."""
-        state = 0
+        state, at, chains = 0, 0, {0: ()}  # the pending tokens before each live cut
         for part in pieces:
             for byte in part:
-                state, out = self.arcs[state].get(byte) or self._step(state, byte)
-                yield from out
-        yield from self.states[state][1][-1]
+                state = self.arcs.get(state | byte) or self._step(state, byte)
+                at, token = at + 1, self.newest[state >> 8]
+                chains[at] = (*chains[at - self.sizes[token]], token)
+                tail, cuts, _ = self.states[state >> 8]
+                chains = {c: chains[c] for c in [at - len(tail) + cut for cut in cuts]}
+                shared = os.path.commonprefix(list(chains.values()))
+                if shared:
+                    chains = {c: chain[len(shared) :] for c, chain in chains.items()}
+                    yield from shared
+        yield from chains[at]
 
 
 _RUN = re.compile(r"\s\s")

@@ -66,6 +66,20 @@ def test_transducer_equals_merges_and_library():
         assert list(coder.machine.stream([word[:2], word[2:]])) == coder.machine.merge(word)
 
 
+def test_transducer_meets_its_states_again():
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    machine, rng = bpe.Transducer(ranks), random.Random(8)
+    parts = "th er on an re he in ed nd ha at en es or nt ea ti to it st io le is ou ar as de rt ve".split()
+    made = [(" " + "".join(rng.choices(parts, k=rng.randint(2, 7)))).encode() for _ in range(10000)]
+    for word in made:
+        assert list(machine.encode(word)) == machine.merge(word) == list(machine.stream([word[:3], word[3:]]))
+    assert len(machine.states) < 0.2 * sum(map(len, made))
+    states = len(machine.states)
+    small = bpe.Transducer(ranks, max_states=50)
+    assert [list(small.encode(word)) for word in made[:300]] == [list(machine.encode(word)) for word in made[:300]]
+    assert len(machine.states) == states and len(small.states) < 1000
+
+
 def test_utf8_stream_at_every_cut():
     text = "aé日𝄞b"
     data = text.encode()
