@@ -23,6 +23,7 @@ Other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -68,6 +69,8 @@ class WordCoder:
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
+        # A task has one core: threads of the library beside it only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.end = Tokenizer.from_file(path), struct.pack("<I", end)
         parts = json.loads(self.tokenizer.to_str())
         added = [t["content"].encode() for t in parts["added_tokens"]]
@@ -75,10 +78,29 @@ class WordCoder:
         splits = (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         kinds = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
         self.by_pieces = kinds == NORMALIZERS and splits[0].get("pattern") == {"Regex": WORD_PATTERN} and splits[0].get("behavior") == "Removed" and all(not p.get("add_prefix_space") for p in splits[1:])
-        self.table, self.cuts = PieceTable(self._ask), _cuts()
+        self.bytewise = self.by_pieces and [p["type"] for p in splits[1:]] == ["ByteLevel"]
+        self.table, self.cuts = PieceTable(self._pieces), _cuts()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ask(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        return self._joined(self._ids([p.decode() for p in pieces]))
+
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As _ask, for pieces between cuts. ASCII letters alone are one match, which the normalizers only lower-case and
+        the byte map leaves as it is: they go to the library's model at once."""
+        if not self.bytewise:
+            return self._ask(pieces)
+        tokenize = self.tokenizer.model.tokenize
+        coded = [[t.id for t in tokenize(p.decode().lower())] if p.isalpha() else None for p in pieces]
+        rest = [k for k, ids in enumerate(coded) if ids is None]
+        for k, ids in zip(rest, self._ids([pieces[k].decode() for k in rest]), strict=True):
+            coded[k] = ids
+        return self._joined(coded)
+
+    @staticmethod
+    def _joined(coded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
         return np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum())), lengths
 

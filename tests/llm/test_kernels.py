@@ -1,7 +1,11 @@
 """Kernels of the training-data operators against plain definitions."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -381,6 +385,28 @@ def test_near_vectors_have_near_fingerprints():
     assert chroma.bit_errors(same[5:], same, 5) == (0, 32 * (len(same) - 5))
 
 
+def test_token_ids_need_one_core():
+    """In a fresh process, as in a task: no threads beside it, and letters alone have the ids of the library."""
+    code = """if True:
+        import os, random
+        import numpy as np, public_tokenizers, pyarrow as pa
+        from quillspark.llm import repair
+        path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(4)
+        letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 12))) + rng.choice(["", "", "7", "é", "'s", "!?"]) for _ in range(40)) for _ in range(60)]
+        texts += ["a", "Q", "b" * 3000]
+        coder = repair.WordCoder(path, 2)
+        list(repair.scan(pa.array(texts), cuts=coder.cuts))
+        threads = len(os.listdir("/proc/self/task"))
+        got = list(coder.encode(pa.array(texts)))
+        assert len(os.listdir("/proc/self/task")) == threads
+        for text, ids in zip(texts, got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == [*coder.tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+    """
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    subprocess.run([sys.executable, "-c", code], check=True, env=env, cwd=Path(__file__).parents[2])
+
+
 def test_token_ids_equal_the_library_as_it_is():
     """Whole texts against a tokenizer of its own: marks beside words and digits, short forms, added tokens, letters that
     compose or change by case, other white space, and words that are too long or too many for the table."""
