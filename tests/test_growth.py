@@ -2,7 +2,11 @@
 
 import random
 
+import duckdb
+import pandas as pd
+
 from quillspark.operators import evaluate
+from quillspark.plans import core, registry
 
 
 def plan(frame):
@@ -25,3 +29,16 @@ def test_greedy_matches_of_many_pages_share_a_call(spark):
                 expected.append(row)
     assert sorted(map(tuple, found.collect())) == sorted(expected)
     assert evaluate.greedy_matches(spark.createDataFrame([], "page_id long, p long, r long, iou double")).count() == 0
+
+
+def test_rate_windows_round_seconds_as_the_sql_does(spark, tmp_path):
+    times = ["2024-01-01 23:59:59.400000", "2024-01-01 23:59:59.500000", "2024-01-01 23:59:59.600000", "2024-01-02 23:59:59.500001", "2024-01-02 00:00:00", "2024-01-02 00:00:00.5", "1969-12-31 00:00:01"]
+    events = pd.DataFrame([(k * 10 + n, pd.Timestamp(t), 1) for n in range(3) for k, t in enumerate(times)], columns=["event_id", "ts", "user_id"])
+    events["ts"] = events["ts"].astype("datetime64[us]")
+    events.to_parquet(tmp_path / "events.parquet")
+    got = core.rate_limit_over(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    expected = con.execute(registry.oracle_sql()["rate_limit_over"]).df()
+    columns = ["event_id", "user_id", "window_no", "number"]
+    assert sorted(got[columns].itertuples(index=False, name=None)) == sorted(expected[columns].itertuples(index=False, name=None))
