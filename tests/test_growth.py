@@ -5,7 +5,7 @@ import random
 import duckdb
 import pandas as pd
 
-from quillspark.operators import evaluate
+from quillspark.operators import evaluate, geometry
 from quillspark.plans import core, registry
 
 
@@ -42,3 +42,25 @@ def test_rate_windows_round_seconds_as_the_sql_does(spark, tmp_path):
     expected = con.execute(registry.oracle_sql()["rate_limit_over"]).df()
     columns = ["event_id", "user_id", "window_no", "number"]
     assert sorted(got[columns].itertuples(index=False, name=None)) == sorted(expected[columns].itertuples(index=False, name=None))
+
+
+def test_reading_order_of_many_pages_shares_a_call(spark):
+    rng = random.Random(2)
+    rows = [(f"p{page}", 100 * page + k, rng.randrange(5) * 10, rng.randrange(40), 5, rng.randrange(1, 20)) for page in range(60) for k in range(rng.randrange(1, 9))]
+    found = geometry.reading_order(spark.createDataFrame(rows, "page_id string, box_id long, x long, y long, w long, h long").repartition(5))
+    assert "FlatMapGroupsInPandas" not in plan(found)
+    got = sorted(map(tuple, found.collect()))
+    expected = []
+    for page in {r[0] for r in rows}:
+        lines = []
+        for b in sorted((r for r in rows if r[0] == page), key=lambda r: (r[3], r[2], r[1])):
+            for line in lines:
+                if min(b[3] + b[5], line[1]) - max(b[3], line[0]) > 0.5 * min(b[5], line[1] - line[0]):
+                    line[0], line[1] = min(line[0], b[3]), max(line[1], b[3] + b[5])
+                    line[2].append(b)
+                    break
+            else:
+                lines.append([b[3], b[3] + b[5], [b]])
+        order = [b for line in lines for b in sorted(line[2], key=lambda b: (b[2], b[1]))]
+        expected += [(page, b[1], k) for k, b in enumerate(order)]
+    assert got == sorted(expected)
