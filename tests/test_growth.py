@@ -5,7 +5,7 @@ import random
 import duckdb
 import pandas as pd
 
-from quillspark.operators import evaluate, geometry
+from quillspark.operators import anomaly, evaluate, geometry
 from quillspark.plans import core, registry
 
 
@@ -64,3 +64,24 @@ def test_reading_order_of_many_pages_shares_a_call(spark):
         order = [b for line in lines for b in sorted(line[2], key=lambda b: (b[2], b[1]))]
         expected += [(page, b[1], k) for k, b in enumerate(order)]
     assert got == sorted(expected)
+
+
+def test_names_in_blocks_give_all_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(anomaly, "NAME_BLOCK", 20)
+    words = ["ann", "anna", "Böhm", "johann", "x" * 70, "x" * 69 + "y", "o" * 40, "o" * 38 + "pq", "Supplier#000000123", "Supplier#000000124", "Supplier#00000124", "😀 smile", "😀 smiles"]
+    for _ in range(150):
+        w = list(rng.choice(words))
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randrange(2)] = rng.choice(["", "a", "n", "7"])
+        words.append("".join(w))
+    rows = [(g, f" {w} ") for w in words for g in rng.sample((1, 2, 3, None), 2)]
+    people = spark.createDataFrame(rows, "page_id long, raw_text string").repartition(3)
+    names = {(g, w.strip(" ")) for g, w in rows if g is not None and w.strip(" ")}
+    pairs = {(g, a, b) for g, a in names for h, b in names if g == h and a < b and 2 * min(len(a), len(b)) >= 0.75 * (len(a) + len(b))}
+    assert sorted(map(tuple, anomaly.name_pairs(people).collect())) == sorted(pairs)
+    found = anomaly.inconsistent_names_by_subsequence(people).collect()
+    assert {tuple(r)[:3]: r.similarity for r in found} == {p: s for p in pairs if (s := evaluate.indel_similarity(p[1], p[2])) >= 0.75} and len(found) == len({tuple(r)[:3] for r in found})
+    units = anomaly.name_units(people.selectExpr("page_id", "trim(raw_text) AS name").distinct(), "page_id").collect()
+    assert max(max(len(u.left), len(u.right)) for u in units) < 60 and len(units) > 15
