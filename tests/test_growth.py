@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
 from quillspark.operators import anomaly, evaluate, geometry
 from quillspark.plans import core, registry
@@ -83,5 +84,18 @@ def test_names_in_blocks_give_all_pairs(spark, monkeypatch):
     assert sorted(map(tuple, anomaly.name_pairs(people).collect())) == sorted(pairs)
     found = anomaly.inconsistent_names_by_subsequence(people).collect()
     assert {tuple(r)[:3]: r.similarity for r in found} == {p: s for p in pairs if (s := evaluate.indel_similarity(p[1], p[2])) >= 0.75} and len(found) == len({tuple(r)[:3] for r in found})
+    like = 1 - F.levenshtein("name_a", "name_b") / F.greatest(F.length("name_a"), F.length("name_b"))
+    for least in (0.94, 0.8):
+        by_edits = anomaly.inconsistent_names_by_edits(people, least=least)
+        assert sorted(map(tuple, by_edits.collect())) == sorted(map(tuple, anomaly.inconsistent_names(people, like, least=least).collect()))
     units = anomaly.name_units(people.selectExpr("page_id", "trim(raw_text) AS name").distinct(), "page_id").collect()
     assert max(max(len(u.left), len(u.right)) for u in units) < 60 and len(units) > 15
+
+
+def test_names_of_few_edits_do_not_meet_in_all_pairs(spark):
+    """All names in one group: their pairs are far more than the candidates."""
+    rows = spark.range(20_000).selectExpr("1L AS page_id", "concat('Supplier#', lpad(cast(id * 7919 % 1000000000 AS string), 9, '0')) AS raw_text")
+    found = anomaly.inconsistent_names_by_edits(rows, least=0.94)
+    names = [f"Supplier#{k * 7919 % 1000000000:09}" for k in range(20_000)]
+    near = {(a, b) for a in names for i in range(9, 18) for c in "0123456789" if a < (b := a[:i] + c + a[i + 1 :])} & {(a, b) for known in [set(names)] for a in names for i in range(9, 18) for c in "0123456789" if (b := a[:i] + c + a[i + 1 :]) in known}
+    assert {(r.name_a, r.name_b) for r in found.collect()} == near
