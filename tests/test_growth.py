@@ -4,11 +4,14 @@ import random
 
 import duckdb
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import anomaly, evaluate, geometry
+from quillspark.operators import anomaly, evaluate, geometry, spread
 from quillspark.plans import core, registry
 
+SF = "/root/testdata/sf0.001"
+
 
 def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
@@ -99,3 +102,18 @@ def test_names_of_few_edits_do_not_meet_in_all_pairs(spark):
     names = [f"Supplier#{k * 7919 % 1000000000:09}" for k in range(20_000)]
     near = {(a, b) for a in names for i in range(9, 18) for c in "0123456789" if a < (b := a[:i] + c + a[i + 1 :])} & {(a, b) for known in [set(names)] for a in names for i in range(9, 18) for c in "0123456789" if (b := a[:i] + c + a[i + 1 :]) in known}
     assert {(r.name_a, r.name_b) for r in found.collect()} == near
+
+
+@pytest.fixture
+def small_tasks(monkeypatch):
+    """A thousandth of the usual bytes for a task."""
+    from quillspark.operators import spread
+
+    monkeypatch.setattr(spread, "TASK_BYTES", 4 << 10)
+    monkeypatch.setattr(spread.parts, "__kwdefaults__", {"each": 4 << 10})
+
+
+def test_region_tasks_follow_the_input(spark, small_tasks):
+    found = core.region_classify(spark, SF)
+    n = found.rdd.getNumPartitions()
+    assert n == spread.parts(found) > 4 * 4
