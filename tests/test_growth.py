@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import extract
 from quillspark.operators import anomaly, evaluate, geometry, spread
 from quillspark.plans import core, registry
 
@@ -117,3 +118,15 @@ def test_region_tasks_follow_the_input(spark, small_tasks):
     found = core.region_classify(spark, SF)
     n = found.rdd.getNumPartitions()
     assert n == spread.parts(found) > 4 * 4
+
+
+def test_extraction_tasks_follow_the_input(spark, monkeypatch):
+    monkeypatch.setattr(core, "tasks", lambda *frames, each: 37)
+    assert core.extract_udtf(spark, SF).rdd.getNumPartitions() == 37
+
+
+def test_extraction_of_odd_texts_through_arrow(spark):
+    texts = [None, "", " ", "paid £6 3s 4d at Bombay", "5 July 1799"]
+    got = spark.createDataFrame([(k, t, c) for k, (t, c) in enumerate(zip(texts, (1.0, None, 2.0, None, 50.0)))], "k int, text string, ocr_confidence double")
+    rows = [tuple(r) for r in extract.entities(got, parts=1).select("k", "entity_type", "normalized_value", "raw_text", "confidence", "start_char", "end_char").orderBy("k", "start_char").collect()]
+    assert rows == [(3, *e) for e in extract.extract(texts[3])] + [(4, *e) for e in extract.extract(texts[4], 50.0)]
