@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import extract
-from quillspark.operators import anomaly, evaluate, geometry, spread
+from quillspark.operators import anomaly, evaluate, geometry, search, spread
 from quillspark.plans import core, registry
 
 SF = "/root/testdata/sf0.001"
@@ -130,3 +130,22 @@ def test_extraction_of_odd_texts_through_arrow(spark):
     got = spark.createDataFrame([(k, t, c) for k, (t, c) in enumerate(zip(texts, (1.0, None, 2.0, None, 50.0)))], "k int, text string, ocr_confidence double")
     rows = [tuple(r) for r in extract.entities(got, parts=1).select("k", "entity_type", "normalized_value", "raw_text", "confidence", "start_char", "end_char").orderBy("k", "start_char").collect()]
     assert rows == [(3, *e) for e in extract.extract(texts[3])] + [(4, *e) for e in extract.extract(texts[4], 50.0)]
+
+
+def test_best_pairs_are_those_of_all_pages(spark, monkeypatch):
+    rng = random.Random(4)
+    names, places = ["John Smith", "Jon Smith", "John Smyth", "Mary", "Joan Smithson"], ["Bombay", "Bombey", "Bombay Fort", "Delhi"]
+    rows = [(f"{kind}{k}", f"p{rng.randrange(40)}", kind, rng.choice(texts)) for kind, texts in (("person", names), ("location", places)) for k in range(120)]
+    entities = spark.createDataFrame(rows, "entity_id string, page_id string, entity_type string, raw_text string")
+    pages = spark.createDataFrame([(f"p{k}", "d1") for k in range(40)], "page_id string, document_id string")
+    documents = spark.createDataFrame([("d1", "f")], "document_id string, filename string")
+    find = lambda limit: [tuple(r) for r in search.person_near_location(entities, pages, documents, "John Smith", "Bombay", limit=limit).collect()]
+    everything = find(None)
+    assert len(everything) > 60
+    for named, limits in ((10_000, (1, 7, 50, 10_000)), (3, (1, 7, 50)), (0, (1, 20))):
+        monkeypatch.setattr(search, "NAMED_PAGES", named)
+        for limit in limits:
+            assert find(limit) == everything[:limit]
+    monkeypatch.setattr(search, "NAMED_PAGES", 10_000)
+    kept = search._pages_that_count(spark.createDataFrame([(f"p{k}", k / 100) for k in range(100)], "page_id string, best double"), 5)
+    assert sorted(r.page_id for r in kept.collect()) == [f"p{k}" for k in range(95, 100)]
