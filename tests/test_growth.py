@@ -149,3 +149,8 @@ def test_best_pairs_are_those_of_all_pages(spark, monkeypatch):
     monkeypatch.setattr(search, "NAMED_PAGES", 10_000)
     kept = search._pages_that_count(spark.createDataFrame([(f"p{k}", k / 100) for k in range(100)], "page_id string, best double"), 5)
     assert sorted(r.page_id for r in kept.collect()) == [f"p{k}" for k in range(95, 100)]
+
+
+def test_cascade_tasks_follow_the_input(spark, small_tasks):
+    plain = core.cascade_delete(spark, SF)
+    assert plan(plain).count("REPARTITION_BY_NUM") >= 6
