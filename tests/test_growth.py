@@ -154,3 +154,9 @@ def test_best_pairs_are_those_of_all_pages(spark, monkeypatch):
 def test_cascade_tasks_follow_the_input(spark, small_tasks):
     plain = core.cascade_delete(spark, SF)
     assert plan(plain).count("REPARTITION_BY_NUM") >= 6
+
+
+def test_detail_leaves_out_what_is_not_asked_for(spark):
+    """Texts and names of the archive are neither read nor shuffled for positions and counts."""
+    narrow = plan(core.document_detail_flat(spark, SF))
+    assert "c_name" not in narrow and "l_returnflag" not in narrow and "l_extendedprice" not in narrow
